@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op4_packing
+from .pii import op8_pii
 from .quality import op6_quality
 from .simhash import op3_simhash
 from .token_counts import op2_token_counts
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op6_quality": op6_quality}
+QUERIES = {"op1_mixing": op1_mixing, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op6_quality": op6_quality, "op8_pii": op8_pii, "op10_language_id": op10_language_id}
 SQL = {"op1_mixing": OP1_SQL}
