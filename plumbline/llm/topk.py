@@ -112,7 +112,7 @@ def search(tree: Tree, q: np.ndarray, own_id: int | None, k: int, best: list[tup
             break
         leaf, a, b = tree.pages[page]
         if leaf:
-            near = np.flatnonzero(np.abs(tree.parent[a:b] - to_parent) <= bound + 1e-6) + a
+            near = np.flatnonzero((np.abs(tree.parent[a:b] - to_parent) <= bound + 1e-6) & (tree.ids[a:b] != own_id)) + a
             seen += len(near)
             scores = tree.vectors[near] @ q
             if len(best) == k:
@@ -122,8 +122,6 @@ def search(tree: Tree, q: np.ndarray, own_id: int | None, k: int, best: list[tup
                 floor = np.partition(scores, len(scores) - k)[len(scores) - k]
                 near, scores = near[scores >= floor], scores[scores >= floor]
             for s, i in zip(scores.tolist(), tree.ids[near].tolist()):
-                if i == own_id:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
