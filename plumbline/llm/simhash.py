@@ -15,6 +15,8 @@ from .components import components, local_roots
 
 #: Fingerprints of a run that are compared each with each; longer runs look up every flip of at most max_bits bits.
 PAIRWISE = 1024
+#: Variants of three fingerprints or more up to which their table (some 100 bytes each) is broadcast; else it is shuffled.
+BROADCAST = 300_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -92,10 +94,14 @@ def simhash_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         pieces = [rest[len(rest) * q // (max_bits + 1) : len(rest) * (q + 1) // (max_bits + 1)] for q in range(max_bits + 1)]
         mask = lambda ks: F.lit(x - (1 << 64) if (x := sum(1 << k for k in ks)) >= 1 << 63 else x)
         others.append(F.array(*(F.struct(F.lit(q).alias("piece"), whole.bitwiseAND(mask(ks)).alias("part")) for q, ks in enumerate(pieces))))
-    rows = fps.select("fp").distinct().select("fp", F.explode(F.array(*variants)).alias("v")).select("fp", "v.pos", "v.bits")
+    # few bytes make many rows here: dealt out anew, so that the variants are made on all cores
+    spread = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread.select("fp", F.explode(F.array(*variants)).alias("v")).select("fp", "v.pos", "v.bits")
     counted = written(rows.groupBy("pos", "bits").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     pairs = counted.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
     full = counted.where("n > 2").select("pos", "bits")
+    if full.count() <= BROADCAST:
+        full = F.broadcast(full)
     segment = sum((F.when(F.col("pos") >= c, 1).otherwise(0) for c in cuts[1:-1]), F.lit(0))
     pieces = F.element_at(F.array(*others), segment + 1)
     runs = rows.join(full, ["pos", "bits"]).select("fp", "pos", "bits", F.explode(pieces).alias("p")).select("fp", "pos", "bits", "p.piece", "p.part")
