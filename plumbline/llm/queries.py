@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op10_language_id
+from .licenses import op5_licenses
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op4_packing
 from .pii import op8_pii
@@ -12,5 +13,5 @@ from .token_counts import op2_token_counts
 from .topk import OP9_SQL, op9_topk
 from .warc import op7_warc
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_topk": op9_topk, "op10_language_id": op10_language_id}
+QUERIES = {"op1_mixing": op1_mixing, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_topk": op9_topk, "op10_language_id": op10_language_id}
 SQL = {"op1_mixing": OP1_SQL, "op9_topk": OP9_SQL}

@@ -19,35 +19,53 @@ PAIRWISE = 1024
 BROADCAST = 300_000
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text: A-Z lower-cased, words between ASCII white space, `shingle`-word shingles, repeats
-    included, joined by a space (fewer words: all of them; none or null text: 0); a bit is 1 if it is set in over half
-    of the shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of a text: A-Z lower-cased, words between ASCII white space, `shingle` words joined by a
+    space, repeats included; fewer words make one shingle, none (or a null text) make none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     cuts = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in cuts), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in cuts), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of these hashes; 0 if there is none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 16384):
+    for i in range(0, len(h), 16384):
         ones += np.unpackbits(h[i : i + 16384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes again for k = 0; for each other k other bits of them, as good as independent."""
+    if k:
+        h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(29))
+    return h
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text: 0 for one without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, tables: int = 1) -> DataFrame:
+    """(doc_id, f0, f1, ...): one fingerprint, as a signed long, for each table."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text"):
-            fps = np.array([fingerprint(t, shingle, seed) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps.view(np.int64)})
+            hashes = [shingle_hashes(t, shingle, seed) for t in frame["text"]]
+            own = {f"f{k}": np.array([majority(mixed(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(tables)}
+            yield pd.DataFrame({"doc_id": frame["doc_id"], **own})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(hashed, "doc_id long" + "".join(f", f{k} long" for k in range(tables)))
 
 
 def near_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,33 +148,48 @@ def simhash_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.unionByName(runs.repartition(*by).sortWithinPartitions(*by).mapInPandas(met, "a long, b long"))
 
 
-def simhash_components(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
+def simhash_components(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, seed: int = 42, tables: int = 1) -> DataFrame:
     """(doc_id, fingerprint of 16 lowercase hex digits, component_id) for every row of docs.
 
     Rows whose fingerprints differ by at most max_bits bits are linked; component_id is the smallest doc_id reachable,
-    its own included. Rows of equal fingerprints, exact copies among them, count as one in all the work on links. A
-    null, empty or blank text has fingerprint 0 and is linked like any other. Rows that repeat a doc_id each have a row.
-    A null doc_id has a row and never is the smallest, unless all of its component are null. Other columns are not read.
+    its own included. With more tables, fingerprints of other bits of the same hashes link rows too: a pair that one
+    table misses by chance another may find. Rows of equal fingerprints, exact copies among them, count as one in all
+    the work on links. A null, empty or blank text has fingerprint 0 and is linked like any other. Rows that repeat a
+    doc_id each have a row. A null doc_id has a row and never is the smallest, unless all of its component are null.
+    Other columns are not read. An empty table gives an empty one.
     """
-    own = written(fingerprints(docs, shingle, seed), "fingerprints")
-    smallest = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(simhash_links(smallest, max_bits), "a", "b")
-    rooted = written(smallest.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
+    names = [f"f{k}" for k in range(tables)]
+    node = F.col("f0") if tables == 1 else F.xxhash64(*names)
+    own = written(fingerprints(docs, shingle, seed, tables).withColumn("node", node), "fingerprints")
+    nodes = written(own.groupBy("node", *names).agg(F.min("doc_id").alias("low")), "distinct")
+    if tables == 1:
+        links = simhash_links(nodes.select(F.col("f0").alias("fp")), max_bits)
+    else:
+        parts = []
+        for name in names:  # a fingerprint's smallest node stands for it; its other nodes are linked to that one
+            firsts = written(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k")), "firsts")
+            found = simhash_links(firsts, max_bits)
+            of = lambda x, f=firsts: f.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first"))
+            parts.append(found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b")))
+            parts.append(nodes.join(firsts.where("k > 1"), F.col(name) == F.col("fp")).select(F.col("node").alias("a"), F.col("first").alias("b")))
+        links = parts[0]
+        for part in parts[1:]:
+            links = links.unionByName(part)
+    roots = components(links, "a", "b").withColumnRenamed("node", "of")
+    rooted = written(nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "low", F.coalesce("root", "node").alias("root")), "roots")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = rooted.select("fp", "root").join(lows, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return own.join(found, F.col("fp") == F.col("__fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = rooted.select("node", "root").join(lows, "root").select(F.col("node").alias("of"), "component_id")
+    return own.join(found, F.col("node") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row for each component: that of the smallest doc_id (of several rows with it, the smallest text).
+    """docs with one row for each component: that of the smallest doc_id; of several rows with it, one.
 
     Takes simhash_components' parameters. Rows of a null doc_id are kept only if their component has no other.
     """
-    columns = docs.columns
-    found = simhash_components(docs, **how).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c")).where(F.col("__id").eqNullSafe(F.col("__c"))).distinct()
+    found = simhash_components(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.min(F.struct(*(c for c in columns if c != "doc_id"))).alias("__row"))
-    return repeated.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in columns))
+    return kept.dropDuplicates(["doc_id"])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
