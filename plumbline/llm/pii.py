@@ -60,13 +60,14 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-#: High-recall generators: what stands in a text for a generator to be tried, and its pattern. Each is bounded.
+#: High-recall generators: what stands in a text for a generator to be tried, and its pattern, which looks
+#: ahead so that spans may overlap. Each is bounded.
 _at, _dot = r"(?:[ ]?[(\[{][ ]?at[ ]?[)\]}][ ]?|[ ]at[ ]|[ ]?@[ ]?)", r"(?:[ ]?[(\[{][ ]?dot[ ]?[)\]}][ ]?|[ ]dot[ ]|\.)"
 GENERATORS = (
-    ("email", re.compile(r"[@)\]}]|\bdot\b"), re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}{_at}[\w-]{{1,63}}(?:{_dot}[\w-]{{1,63}}){{1,5}}", re.I)),
-    ("ip", re.compile(r"\[\.\]|\(\.\)|:"), re.compile(r"(?<![\w:])(?:[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)){3}[0-9]{1,3}(?![0-9])|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![\w:])")),
-    ("card", _digit, re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]?[0-9]{2,6}){2,5}(?![0-9])")),
-    ("phone", _digit, re.compile(r"(?<![0-9])(?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,3}(?![0-9])")),
+    ("email", re.compile(r"[@)\]}]|\bdot\b"), re.compile(rf"(?<![\w.%+-])(?=([\w.%+-]{{1,64}}{_at}[\w-]{{1,63}}(?:{_dot}[\w-]{{1,63}}){{1,5}}))", re.I)),
+    ("ip", re.compile(r"\[\.\]|\(\.\)|:"), re.compile(r"(?<![\w:])(?=((?:[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)){3}[0-9]{1,3}(?![0-9])|(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![\w:])))")),
+    ("card", _digit, re.compile(r"(?<![0-9])(?=([0-9]{4}(?:[ ./_-]?[0-9]{2,6}){2,5}(?![0-9])))")),
+    ("phone", _digit, re.compile(r"(?<![0-9])(?=((?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,3}(?![0-9])))")),
 )
 #: Words of the context that speak for or against a kind.
 CUES = (
@@ -79,8 +80,9 @@ CUES = (
 
 
 def candidates(text: str) -> list[Span]:
-    """Overlapping spans that may be personal data, from every generator whose hint stands in the text."""
-    return [(kind, *m.span()) for kind, hint, pattern in GENERATORS if hint.search(text) for m in pattern.finditer(text)]
+    """Overlapping spans that may be personal data, from every generator whose hint stands in the text: one for each
+    place where a pattern can begin."""
+    return [(kind, *m.span(1)) for kind, hint, pattern in GENERATORS if hint.search(text) for m in pattern.finditer(text)]
 
 
 def features(text: str, span: Span) -> list[float]:

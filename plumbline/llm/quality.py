@@ -105,7 +105,8 @@ def language_references(docs: DataFrame, common: int = COMMON) -> dict[str | Non
     def given(held: dict) -> Iterator[pd.DataFrame]:
         for lang, (words, classes) in held.items():
             for kind, names, counts in ((0, list(words), list(words.values())), (1, [str(i) for i in range(len(CLASSES))], classes)):
-                yield pd.DataFrame({"lang": [lang] * len(names), "kind": kind, "name": names, "n": counts})
+                if names:
+                    yield pd.DataFrame({"lang": [lang] * len(names), "kind": kind, "name": names, "n": counts})
         held.clear()
 
     counts = docs.select("lang", "text").mapInPandas(counted, "lang string, kind int, name string, n long")

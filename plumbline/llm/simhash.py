@@ -69,7 +69,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, tables: int
 
 
 def near_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links (at most max_bits differing bits) between these distinct fingerprints."""
+    """What the links (at most max_bits differing bits) between these fingerprints connect, as a star for each
+    component: a row for each of its other fingerprints with its smallest one."""
     fps = np.unique(fps)
     if len(fps) <= PAIRWISE:
         i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits, 1))
@@ -90,27 +91,26 @@ def near_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def simhash_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect exactly those of at most max_bits differing bits.
+    """(a, b) between distinct fingerprints, connecting exactly what links of at most max_bits differing bits connect.
 
     The 64 bits are cut into m = ceil((max_bits + 1) / 2) segments, so that in any linked pair one segment differs by
     at most one bit (two would make 2m > max_bits). A segment of w bits gives w variants, each with one bit as wildcard:
     64 rows a fingerprint. Two segments that differ by at most one bit share a variant, so an equality join on it
     finds every link; each is verified. A variant of two fingerprints gives its pair from a partial aggregate alone.
     Those of more are joined again under one of max_bits + 1 pieces of their other bits (one piece must be equal) and
-    met in sorted runs. A run is of distinct fingerprints that agree in all but few bits; it gives a spanning forest,
-    not all its pairs, in time that grows as its length beyond PAIRWISE. A hot variant is thus dealt out by pieces.
+    met in sorted runs. A run is of distinct fingerprints that agree in all but few bits; it gives a star for each
+    component, not all its pairs, in time that grows as its length beyond PAIRWISE. A hot variant is thus dealt out by pieces.
     """
     m = (max_bits + 2) // 2
     cuts = [64 * i // m for i in range(m + 1)]
     whole = F.col("fp")
-    low = lambda n: F.lit((1 << n) - 1 if n < 64 else -1)
-    at = lambda i, j: F.shiftrightunsigned(whole, i).bitwiseAND(low(j - i))  # noqa: E731  bits i to j
+    mask = lambda ks: F.lit((x := sum(1 << k for k in ks)) - (1 << 64) * (x >> 63))  # noqa: E731  these bits, as a signed long
+    at = lambda i, j: F.shiftrightunsigned(whole, i).bitwiseAND(mask(range(j - i)))  # noqa: E731  bits i to j
     variants, others = [], []
     for s, (i, j) in enumerate(zip(cuts, cuts[1:])):
-        variants += [F.struct(F.lit(p).alias("pos"), at(i, j).bitwiseAND(F.lit(~(1 << (p - i)))).alias("bits")) for p in range(i, j)]
+        variants += [F.struct(F.lit(p).alias("pos"), at(i, j).bitwiseAND(mask(k for k in range(64) if k != p - i)).alias("bits")) for p in range(i, j)]
         rest = [k for k in range(64) if not i <= k < j]
         pieces = [rest[len(rest) * q // (max_bits + 1) : len(rest) * (q + 1) // (max_bits + 1)] for q in range(max_bits + 1)]
-        mask = lambda ks: F.lit(x - (1 << 64) if (x := sum(1 << k for k in ks)) >= 1 << 63 else x)
         others.append(F.array(*(F.struct(F.lit(q).alias("piece"), whole.bitwiseAND(mask(ks)).alias("part")) for q, ks in enumerate(pieces))))
     # few bytes make many rows here: dealt out anew, so that the variants are made on all cores
     spread = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
