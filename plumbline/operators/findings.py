@@ -117,7 +117,7 @@ def strong_components(pairs: DataFrame, small: int = SMALL) -> DataFrame:
     """
     edges = inner(pairs).select("source", "target").distinct()
     if edges.limit(small + 1).count() <= small:
-        return edges.groupBy(F.lit(0)).applyInPandas(_one_task, "component string, id string")
+        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_one_task, "component string, id string")
     return _in_rounds(settled(edges))
 
 

@@ -148,6 +148,10 @@ def diagnostics(facts: DataFrame, imports: DataFrame, resolved: DataFrame) -> Da
     lost = resolved.where("unresolved is not null").join(starred, F.col("module_id") == F.col("__m"), "left")
     put_off = (F.col("stage") == REFERENCE) & F.col("__m").isNotNull()
     single = lost.where(~put_off).select(F.lit("unresolved_symbol").alias("kind"), F.col("module_id").alias("moduleId"), "line", F.concat(F.lit("unresolved symbol "), paths.quoted(F.col("unresolved"))).alias("message"), "stage", "seq")
-    every = stated.unionByName(single).unionByName(star_notes(imports, lost.where(put_off)))
+    return first_diagnostics(stated.unionByName(single).unionByName(star_notes(imports, lost.where(put_off))))
+
+
+def first_diagnostics(every: DataFrame) -> DataFrame:
+    """Of the diagnostics of one kind, moduleId and line the first by (stage, seq)."""
     first = every.groupBy("kind", "moduleId", "line").agg(F.min(F.struct("stage", "seq", "message")).alias("f"))
     return first.select("kind", "moduleId", "line", "f.message", "f.stage", "f.seq")
