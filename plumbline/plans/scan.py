@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,20 +29,28 @@ class Graph:
     funcs: DataFrame
     calls: DataFrame
     facts: DataFrame
+    kept: list[DataFrame] = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: v for k, v in vars(self).items() if k != "facts"}
+        return {k: v for k, v in vars(self).items() if k not in ("facts", "kept")}
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    def release(self) -> None:
+        """Lets go of what was kept for the tables, which can still be read, from the sources anew."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def scan_files(files: DataFrame, *, stdlib: tuple[str, ...] = STDLIB, builtins: tuple[str, ...] = BUILTINS, by_root: bool = False) -> Graph:
     """The graph of a frame (module_id, content). Each source is parsed once; all else is joins and aggregates.
 
-    The facts are kept in memory or on disk, as many tables read them; a lost part is parsed again.
+    The facts and what most tables share are kept in memory or on disk until release(); a lost part is made again.
     """
+    kept: list[DataFrame] = []
+
+    def _kept(df: DataFrame) -> DataFrame:
+        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
     facts = _kept(py_facts(files))
     index = _kept(resolve.module_index(files))
     modules = facts.where("fact = 'module'").select(F.col("module_id").alias("id"), F.col("module_id").alias("path"))
@@ -54,7 +62,7 @@ def scan_files(files: DataFrame, *, stdlib: tuple[str, ...] = STDLIB, builtins:
     raw = resolved.where("edge_target is not null").select(F.col("module_id").alias("source"), F.col("edge_target").alias("target"), F.col("edge_port").alias("targetPort"), "kind", "line", "stage", "seq")
     return Graph(
         modules, ports, graph.merge_edges(raw), graph.distinct_externals(resolved, "external"), resolve.diagnostics(facts, imports, resolved),
-        facts.where("fact = 'func'").select("module_id", "seq", "name", "line"), facts.where("fact = 'call'").select("module_id", "src", "dst", "line"), facts,
+        facts.where("fact = 'func'").select("module_id", "seq", "name", "line"), facts.where("fact = 'call'").select("module_id", "src", "dst", "line"), facts, kept,
     )
 
 
@@ -64,7 +72,7 @@ def scan_codebase(spark: SparkSession, root: str, exclude_dirs: set[str] | None
     try:
         return as_dict(found)
     finally:
-        found.facts.unpersist()
+        found.release()
 
 
 def as_dict(g: Graph) -> dict:

@@ -20,6 +20,7 @@ def watch(spark: SparkSession, root: str, store: str, checkpoint: str, then: Cal
 
     def taken(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        spark.catalog.refreshByPath(store)  # else a cached scan of the files so far would stand for the new ones too
         every = spark.read.option("basePath", store).parquet(store)
         latest = every.groupBy("module_id").agg(F.max_by("content", F.struct("modificationTime", "batch")).alias("content"))
         then(latest)
