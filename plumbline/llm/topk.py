@@ -30,7 +30,6 @@ class Tree:
     top: float
     ids: np.ndarray
     vectors: np.ndarray
-    lift: np.ndarray
     parent: np.ndarray
     pages: list[tuple[bool, int, int]]
     routes: np.ndarray
@@ -85,7 +84,8 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> Tree:
     grow(np.arange(len(x)), zero)
     order = np.concatenate(leaves)
     shape = (0, full.shape[1])
-    return Tree(top, ids[order], x[order], full[order, -1], np.concatenate(leaf_parent), pages, np.array(routes).reshape(len(routes), shape[1]), np.array(route_parent), np.array(radius), np.array(child, int))
+    small = np.int32 if np.abs(x).max(initial=0) < 2**31 else np.float64
+    return Tree(top, ids[order], x[order].astype(small), np.concatenate(leaf_parent), pages, np.array(routes).reshape(len(routes), shape[1]), np.array(route_parent), np.array(radius), np.array(child, int))
 
 
 def search(tree: Tree, q: np.ndarray, own_id: int | None, k: int, best: list[tuple[float, int]]) -> int:
@@ -146,7 +146,7 @@ def _usable(value) -> np.ndarray | None:
 
 
 def packed(rows: DataFrame, most: int, make) -> DataFrame:
-    """(dim int, blob binary): the usable vectors of each task in lots of at most `most` of one dimension."""
+    """(blob binary): the usable vectors of each task in lots of at most `most` of one dimension."""
 
     def lots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[list, list]] = {}
@@ -158,14 +158,14 @@ def packed(rows: DataFrame, most: int, make) -> DataFrame:
                     ids.append(int(i))
                     xs.append(x)
                     if len(ids) == most:
-                        yield lot(len(x), *held.pop(len(x)))
-        for dim, (ids, xs) in held.items():
-            yield lot(dim, ids, xs)
+                        yield lot(*held.pop(len(x)))
+        for ids, xs in held.values():
+            yield lot(ids, xs)
 
-    def lot(dim: int, ids: list, xs: list) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [dim], "blob": [pickle.dumps(make(np.array(ids, np.int64), np.stack(xs)))]})
+    def lot(ids: list, xs: list) -> pd.DataFrame:
+        return pd.DataFrame({"blob": [pickle.dumps(make(np.array(ids, np.int64), np.stack(xs)))]})
 
-    return rows.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").mapInPandas(lots, "dim int, blob binary")
+    return rows.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").mapInPandas(lots, "blob binary")
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -180,16 +180,20 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     the query's vec_id are its own and no candidates; repeated query rows count once, repeated candidates each.
     """
     trees = written(packed(candidates, TREE, build_tree), "trees")
-    blocks = written(packed(queries.dropDuplicates(["vec_id", "embedding"]), BLOCK, lambda ids, xs: (ids, xs)), "queries")
+    asked = queries.dropDuplicates(["vec_id", "embedding"])
+    blocks = written(packed(asked.repartition(asked.count() // BLOCK + 1), BLOCK, lambda ids, xs: (ids, xs)), "queries")
 
     def searched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
         trees: tuple = (None, None)
         for frame in frames:
             for tree_blob, block_blob in zip(frame["tree"], frame["block"]):
+                ids, qs = pickle.loads(block_blob)
                 if trees[0] != tree_blob:
-                    trees = (tree_blob, pickle.loads(tree_blob))
-                for i, q in zip(*pickle.loads(block_blob)):
+                    tree = pickle.loads(tree_blob)
+                    tree.vectors = tree.vectors.astype(np.float64)
+                    trees = (tree_blob, tree)
+                for i, q in zip(ids, qs) if qs.shape[1] == trees[1].vectors.shape[1] else ():
                     search(trees[1], q, int(i), k, held.setdefault((int(i), q.tobytes()), []))
             if len(held) > 20_000:
                 yield given(held)
@@ -200,8 +204,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         rows = [(i, int.from_bytes(hash_of(v), "little", signed=True), -n, int(s)) for (i, v), best in held.items() for s, n in best]
         return pd.DataFrame(rows, columns=["query_id", "q", "vec_id", "score"])
 
-    met = trees.select("dim", F.col("blob").alias("tree")).crossJoin(blocks.select(F.col("dim").alias("d"), F.col("blob").alias("block"))).where("dim = d")
-    found = met.select("tree", "block").mapInPandas(searched, "query_id long, q long, vec_id long, score long")
+    # blocks, not rows, meet; a join by dim, which has one value, would send all to one task
+    met = trees.select(F.col("blob").alias("tree")).crossJoin(blocks.select(F.col("blob").alias("block")))
+    found = met.mapInPandas(searched, "query_id long, q long, vec_id long, score long")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
