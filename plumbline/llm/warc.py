@@ -21,6 +21,8 @@ from .common import batches, new_folder, table, written
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Raw bytes of a frame, compressed bytes of a bundle, from which on the next one is begun.
 FRAME, BUNDLE = 256 << 10, 8 << 20
+#: Repeated payloads up to which the table of their first pages (some 100 bytes each) is broadcast; else it is shuffled.
+BROADCAST = 300_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _control = re.compile(r"[\x00-\x20\x7f]")
 
@@ -133,7 +135,7 @@ def put_file(uri: str, data: bytes) -> None:
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(f"{path}.part") as out:
+    with store.open_output_stream(f"{path}.part", compression=None) as out:
         out.write(data)
     store.move(f"{path}.part", path)
 
@@ -151,7 +153,9 @@ def write_warc(pages: DataFrame, folder: str, *, least: int = 0, date: str = "19
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("__d"), F.octet_length(payload).alias("__n"))
-    firsts = rows.where(F.col("__n") >= least).groupBy("__d").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__k")).where("__k > 1 and __first is not null").select(F.col("__d").alias("__e"), "__first")
+    firsts = written(rows.where(F.col("__n") >= least).groupBy("__d").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__k")).where("__k > 1 and __first is not null").select(F.col("__d").alias("__e"), "__first"), "firsts")
+    if firsts.count() <= BROADCAST:  # else rows are shuffled by digest, html and all
+        firsts = F.broadcast(firsts)
     typed = rows.join(firsts, F.col("__d") == F.col("__e"), "left").select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("__first"), F.col("__first").isNotNull()), F.col("__first")).alias("refers_to"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,14 +184,23 @@ def write_warc(pages: DataFrame, folder: str, *, least: int = 0, date: str = "19
     return written(typed.mapInPandas(write, "page_id long, bundle string, frame int, start long, length long"), "index")
 
 
+def get_file(uri: str) -> bytes:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path, compression=None) as stream:
+        return stream.read()
+
+
 def read_warc(spark: SparkSession, folder: str, index: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record of the indexed bundles, read back through Spark: page_id, payload_bytes, payload_digest, record_type,
-    refers_to and, if asked for, payload. Frames are found by the seek table and read one at a time; a damaged payload
-    is an error."""
+    """Every record of the indexed bundles, read back from their files: page_id, payload_bytes, payload_digest,
+    record_type, refers_to and, if asked for, payload. Names, not contents, are dealt out; a task holds a bundle at a
+    time. Frames are found by the seek table and read one by one; a damaged payload is an error."""
 
     def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for bundle in frame["content"]:
+            for name in frame["bundle"]:
+                bundle = get_file(f"{folder}/{name}")
                 for place in seek_table(bundle):
                     raw, at, rows = read_frame(bundle, place), 0, []
                     while at < len(raw):
@@ -198,11 +211,7 @@ def read_warc(spark: SparkSession, folder: str, index: DataFrame, payloads: bool
 
     names = index.select("bundle").distinct()
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    if not names.limit(1).count():
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    kept = files.withColumn("__name", F.element_at(F.split("path", "/"), -1)).join(names, F.col("__name") == F.col("bundle"), "left_semi")
-    return kept.select("content").mapInPandas(told, schema)
+    return names.repartition(min(10_000, names.count() + 1), "bundle").mapInPandas(told, schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
