@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import batches, table, written
 from .components import components, local_roots
 
-#: Fingerprints of a run that are compared each with each; longer runs look up every flip of at most max_bits bits.
+#: Fingerprints of a run that are compared each with each; longer runs look up flips of at most two bits.
 PAIRWISE = 1024
 #: Variants of three fingerprints or more up to which their table (some 100 bytes each) is broadcast; else it is shuffled.
 BROADCAST = 300_000
@@ -68,60 +68,110 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, tables: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(hashed, "doc_id long" + "".join(f", f{k} long" for k in range(tables)))
 
 
-def near_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """What the links (at most max_bits differing bits) between these fingerprints connect, as a star for each
-    component: a row for each of its other fingerprints with its smallest one."""
+class Cuts:
+    """The 64 bits in segments, and for each segment the other bits in pieces.
+
+    A pair of fingerprints may meet in many runs; `owns` picks the one that links it: the first segment that differs by
+    at most one bit, there the wildcard at that bit (at the segment's first one if none differs), and the first piece
+    without a difference.
+    """
+
+    def __init__(self, max_bits: int, segments: int):
+        self.max_bits = max_bits
+        ends = [64 * i // segments for i in range(segments + 1)]
+        self.segments = [range(i, j) for i, j in zip(ends, ends[1:])]
+        self.masks = [sum(1 << k for k in bits) for bits in self.segments]
+        rest = [[k for k in range(64) if k not in bits] for bits in self.segments]
+        n = max_bits + 1
+        self.pieces = [[sum(1 << k for k in r[len(r) * q // n : len(r) * (q + 1) // n]) for q in range(n)] for r in rest]
+
+    def segment(self, pos: int) -> int:
+        return next(s for s, bits in enumerate(self.segments) if pos in bits)
+
+    def owns(self, x: np.ndarray, pos: int, piece: int) -> np.ndarray:
+        """Whether the run of this wildcard and piece links pairs that differ by the bits x."""
+        s = self.segment(pos)
+        ok = np.bitwise_count(x) <= self.max_bits
+        if pos != self.segments[s][0]:
+            ok &= (x & np.uint64(1 << pos)) != 0
+        for m in self.masks[:s]:
+            ok &= np.bitwise_count(x & np.uint64(m)) > 1
+        for m in self.pieces[s][:piece]:
+            ok &= (x & np.uint64(m)) != 0
+        return ok
+
+
+def near_links(fps: np.ndarray, owns, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the links between these fingerprints connect, as a star for each component: a row for each of its other
+    fingerprints with its smallest one. owns tells for differences which of them link.
+
+    Up to PAIRWISE fingerprints, or for more than two bits, blocks are compared with all; else every owned flip of at
+    most two bits is looked up.
+    """
     fps = np.unique(fps)
-    if len(fps) <= PAIRWISE:
-        i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits, 1))
-        a, b = fps[i], fps[j]
+    a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal a, b
+        a, b = np.concatenate([a, x]), np.concatenate([b, y])
+        if len(a) > 1_000_000:
+            a, b = local_roots(a, b)
+
+    if len(fps) <= PAIRWISE or max_bits > 2:
+        for i in range(0, len(fps), 256):
+            block, others = fps[i : i + 256], fps[i:]
+            j, k = np.nonzero(np.triu(owns(block[:, None] ^ others[None, :]), 1))
+            add(block[j], others[k])
     else:
-        masks, bits = {0}, [1 << k for k in range(64)]
-        for _ in range(max_bits):
-            masks |= {m ^ x for m in masks for x in bits}
-        parts = []
-        for m in masks - {0}:
-            other = fps ^ np.uint64(m)
+        bits = [1 << k for k in range(64)]
+        flips = np.array(sorted({x | y for x in bits for y in (bits if max_bits == 2 else [x])}), np.uint64)
+        for m in flips[owns(flips)]:
+            other = fps ^ m
             at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
             hit = (fps[at] == other) & (fps < other)
-            parts.append((fps[hit], other[hit]))
-        a, b = (np.concatenate(x) for x in zip(*parts))
-    nodes, roots = local_roots(a, b) if len(a) else (a, b)
+            add(fps[hit], other[hit])
+    if not len(a):
+        return a, b
+    nodes, roots = local_roots(a, b)
     return nodes[nodes != roots], roots[nodes != roots]
 
 
-def simhash_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+def simhash_links(fps: DataFrame, max_bits: int = 2, segments: int | None = None) -> DataFrame:
     """(a, b) between distinct fingerprints, connecting exactly what links of at most max_bits differing bits connect.
 
-    The 64 bits are cut into m = ceil((max_bits + 1) / 2) segments, so that in any linked pair one segment differs by
-    at most one bit (two would make 2m > max_bits). A segment of w bits gives w variants, each with one bit as wildcard:
-    64 rows a fingerprint. Two segments that differ by at most one bit share a variant, so an equality join on it
-    finds every link; each is verified. A variant of two fingerprints gives its pair from a partial aggregate alone.
-    Those of more are joined again under one of max_bits + 1 pieces of their other bits (one piece must be equal) and
-    met in sorted runs. A run is of distinct fingerprints that agree in all but few bits; it gives a star for each
-    component, not all its pairs, in time that grows as its length beyond PAIRWISE. A hot variant is thus dealt out by pieces.
+    The 64 bits are cut into ceil((max_bits + 1) / 2) segments, so that in any linked pair one segment differs by at
+    most one bit (two each would make more than max_bits). A segment of w bits gives w variants, each with one bit as
+    wildcard: 64 rows a fingerprint. Two segments that differ by at most one bit share a variant, so an equality join
+    on it finds every link; each is verified. A variant of two fingerprints gives its pair from a partial aggregate
+    alone. Those of more are joined again under one of max_bits + 1 pieces of their other bits (one piece must be
+    equal) and met in sorted runs. A run is of distinct fingerprints that agree in all but few bits; it gives a star
+    for each component, not all its pairs, and only of pairs that no other run has. A hot variant is thus dealt out by
+    pieces. Fewer segments than that may be asked for: then pairs that differ by 2 * segments bits or more are linked
+    only if one segment differs by at most one bit.
     """
-    m = (max_bits + 2) // 2
-    cuts = [64 * i // m for i in range(m + 1)]
+    cuts = Cuts(max_bits, segments or (max_bits + 2) // 2)
     whole = F.col("fp")
-    mask = lambda ks: F.lit((x := sum(1 << k for k in ks)) - (1 << 64) * (x >> 63))  # noqa: E731  these bits, as a signed long
-    at = lambda i, j: F.shiftrightunsigned(whole, i).bitwiseAND(mask(range(j - i)))  # noqa: E731  bits i to j
-    variants, others = [], []
-    for s, (i, j) in enumerate(zip(cuts, cuts[1:])):
-        variants += [F.struct(F.lit(p).alias("pos"), at(i, j).bitwiseAND(mask(k for k in range(64) if k != p - i)).alias("bits")) for p in range(i, j)]
-        rest = [k for k in range(64) if not i <= k < j]
-        pieces = [rest[len(rest) * q // (max_bits + 1) : len(rest) * (q + 1) // (max_bits + 1)] for q in range(max_bits + 1)]
-        others.append(F.array(*(F.struct(F.lit(q).alias("piece"), whole.bitwiseAND(mask(ks)).alias("part")) for q, ks in enumerate(pieces))))
+    mask = lambda x: F.lit(x - (1 << 64) * (x >> 63))  # noqa: E731  these bits, as a signed long
+    variants = [F.struct(F.lit(p).alias("pos"), whole.bitwiseAND(mask(m & ~(1 << p))).alias("bits")) for bits, m in zip(cuts.segments, cuts.masks) for p in bits]
     # few bytes make many rows here: dealt out anew, so that the variants are made on all cores
     spread = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = spread.select("fp", F.explode(F.array(*variants)).alias("v")).select("fp", "v.pos", "v.bits")
     counted = written(rows.groupBy("pos", "bits").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
-    pairs = counted.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    owned = F.lit(False)
+    for s, bits in enumerate(cuts.segments):
+        here = F.col("pos").between(bits[0], bits[-1]) & ((F.col("pos") == bits[0]) | (x.bitwiseAND(mask(cuts.masks[s])) != 0))
+        for m in cuts.masks[:s]:
+            here &= F.bit_count(x.bitwiseAND(mask(m))) > 1
+        owned |= here
+    pairs = counted.where((F.col("n") == 2) & (F.bit_count(x) <= max_bits) & owned).select("a", "b")
     full = counted.where("n > 2").select("pos", "bits")
     if full.count() <= BROADCAST:
         full = F.broadcast(full)
-    segment = sum((F.when(F.col("pos") >= c, 1).otherwise(0) for c in cuts[1:-1]), F.lit(0))
-    pieces = F.element_at(F.array(*others), segment + 1)
+    pieces = F.lit(None)
+    for bits, own in zip(cuts.segments, cuts.pieces):
+        parts = F.array(*(F.struct(F.lit(q).alias("piece"), whole.bitwiseAND(mask(m)).alias("part")) for q, m in enumerate(own)))
+        pieces = F.when(F.col("pos").between(bits[0], bits[-1]), parts).otherwise(pieces)
     runs = rows.join(full, ["pos", "bits"]).select("fp", "pos", "bits", F.explode(pieces).alias("p")).select("fp", "pos", "bits", "p.piece", "p.part")
 
     def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,13 +184,13 @@ def simhash_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
                 if key is not None and tuple(keys[x]) == key:
                     run.append(fps[x:y])
                     continue
-                yield from links(run)
+                yield from links(key, run)
                 key, run = tuple(keys[x]), [fps[x:y]]
-        yield from links(run)
+        yield from links(key, run)
 
-    def links(run: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    def links(key: tuple | None, run: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         if sum(map(len, run)) > 1:
-            a, b = near_links(np.concatenate(run), max_bits)
+            a, b = near_links(np.concatenate(run), lambda x: cuts.owns(x, int(key[0]), int(key[2])), max_bits)
             if len(a):
                 yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
@@ -148,7 +198,7 @@ def simhash_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.unionByName(runs.repartition(*by).sortWithinPartitions(*by).mapInPandas(met, "a long, b long"))
 
 
-def simhash_components(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, seed: int = 42, tables: int = 1) -> DataFrame:
+def simhash_components(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, seed: int = 42, tables: int = 1, segments: int | None = None) -> DataFrame:
     """(doc_id, fingerprint of 16 lowercase hex digits, component_id) for every row of docs.
 
     Rows whose fingerprints differ by at most max_bits bits are linked; component_id is the smallest doc_id reachable,
@@ -163,12 +213,12 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2,
     own = written(fingerprints(docs, shingle, seed, tables).withColumn("node", node), "fingerprints")
     nodes = written(own.groupBy("node", *names).agg(F.min("doc_id").alias("low")), "distinct")
     if tables == 1:
-        links = simhash_links(nodes.select(F.col("f0").alias("fp")), max_bits)
+        links = simhash_links(nodes.select(F.col("f0").alias("fp")), max_bits, segments)
     else:
         parts = []
         for name in names:  # a fingerprint's smallest node stands for it; its other nodes are linked to that one
             firsts = written(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k")), "firsts")
-            found = simhash_links(firsts, max_bits)
+            found = simhash_links(firsts, max_bits, segments)
             of = lambda x, f=firsts: f.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first"))
             parts.append(found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b")))
             parts.append(nodes.join(firsts.where("k > 1"), F.col(name) == F.col("fp")).select(F.col("node").alias("a"), F.col("first").alias("b")))

@@ -103,15 +103,33 @@ def test_simhash_links_of_dense_groups(spark, monkeypatch):
                 root[at[a]] = root[at[b]] = min(root[at[a]], root[at[b]])
         expected = slow_components(fps, bits)
         assert len(set(zip(root, expected))) == len(set(expected)) == len(set(root))
-    long = np.array(fps, np.uint64)
-    short = simhash.near_links(long, 2)
-    monkeypatch.setattr(simhash, "PAIRWISE", 10)
-    longer = simhash.near_links(long, 2)
-    assert sorted(zip(*map(list, short))) == sorted(zip(*map(list, longer)))
+    long, cuts = np.array(fps, np.uint64), simhash.Cuts(2, 2)
+    for pos, piece in ((0, 0), (3, 0), (32, 1), (40, 2)):
+        owns = lambda x, p=pos, q=piece: cuts.owns(x, p, q)
+        monkeypatch.setattr(simhash, "PAIRWISE", 10_000)
+        short = simhash.near_links(long, owns, 2)
+        monkeypatch.setattr(simhash, "PAIRWISE", 10)
+        assert sorted(zip(*map(list, short))) == sorted(zip(*map(list, simhash.near_links(long, owns, 2))))
+
+
+def test_each_link_has_one_run():
+    r = random.Random(11)
+    for bits in (1, 2, 3, 5):
+        cuts = simhash.Cuts(bits, (bits + 2) // 2)
+        for _ in range(300):
+            x = 0
+            for k in r.sample(range(64), r.randint(1, bits)):
+                x |= 1 << k
+            runs = 0
+            for s, (places, m) in enumerate(zip(cuts.segments, cuts.masks)):
+                for pos in places:
+                    if not x & m & ~(1 << pos):  # the pair shares this variant
+                        runs += sum(bool(cuts.owns(np.array([x], np.uint64), pos, q)[0]) for q, own in enumerate(cuts.pieces[s]) if not x & own)
+            assert runs == 1, (bits, hex(x))
 
 
 def test_simhash_dedup_and_tables(docs, none):
-    kept = simhash.simhash_dedup(docs, shingle=5, max_bits=5, tables=3)
+    kept = simhash.simhash_dedup(docs, shingle=5, max_bits=5, segments=2, tables=4)
     assert kept.columns == docs.columns
     ids = [r[0] for r in kept.collect()]
     assert 9 in ids and 10 not in ids and 11 not in ids and len(ids) == len(set(ids)) and {3, 8, 18} <= set(ids) and 0 in ids and 1 not in ids
