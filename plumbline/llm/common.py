@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words, as the contracts give it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that an operator hands to numpy at once; a batch of longer texts is cut by TEXT_BYTES.
-TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
+TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
 _written: list = []
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Texts can be long: if the session's Arrow batches are at Spark's default of 10,000 rows, they are set to 2,000, so
+    that Python workers hold a few MB at a time."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -18,7 +18,7 @@ from .common import batches, table, written
 from .token_counts import tokenizer_path
 
 #: Words whose ids a Python worker keeps; beyond it, words are encoded anew each time.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 250_000
 _tail = re.compile(rb"[.,;:!?]+\Z")
 _codecs: dict = {}
 
