@@ -31,7 +31,8 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node long, root long) for every node of the links: root is the smallest node reachable.
 
-    Each task first replaces its links by a star for each of its own components, at most 500,000 links at a time.
+    Each task first replaces its links by a star for each of its own components, at most 500,000 links at a time; then
+    fewer tasks do so again with what is left, so that a large group has not a star from every task.
     Rounds then take the smallest label of a node's neighbours and the label of its label, both partial minima, until
     no label changes: a chain of n links takes about log n rounds. Every round is a table in the shared folder. Links
     with a null end are ignored; repeated links and loops do no harm.
@@ -52,7 +53,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         return pd.DataFrame({"u": nodes, "v": roots})
 
     ends = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
-    thin = written(ends.mapInPandas(stars, "u long, v long").distinct(), "links")
+    fewer = max(4, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    once = ends.mapInPandas(stars, "u long, v long").distinct()
+    thin = written(once.coalesce(fewer).mapInPandas(stars, "u long, v long").distinct(), "links")
     both = thin.where("u <> v").unionByName(thin.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = written(thin.select("u").unionByName(thin.select(F.col("v").alias("u"))).distinct().select(F.col("u").alias("node"), F.col("u").alias("root"), F.lit(True).alias("moved")), "labels")
     while labels.where("moved").limit(1).count():
