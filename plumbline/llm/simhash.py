@@ -56,16 +56,21 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
+def text_key():
+    """What tells texts of one doc_id, or of none, apart."""
+    return F.xxhash64("text", F.length("text"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, tables: int = 1) -> DataFrame:
-    """(doc_id, f0, f1, ...): one fingerprint, as a signed long, for each table."""
+    """(doc_id, key, f0, f1, ...): the text's key and one fingerprint, as a signed long, for each table."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text"):
             hashes = [shingle_hashes(t, shingle, seed) for t in frame["text"]]
             own = {f"f{k}": np.array([majority(mixed(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(tables)}
-            yield pd.DataFrame({"doc_id": frame["doc_id"], **own})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], **own})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(hashed, "doc_id long" + "".join(f", f{k} long" for k in range(tables)))
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInPandas(hashed, "doc_id long, key long" + "".join(f", f{k} long" for k in range(tables)))
 
 
 class Cuts:
@@ -198,16 +203,9 @@ def simhash_links(fps: DataFrame, max_bits: int = 2, segments: int | None = None
     return pairs.unionByName(runs.repartition(*by).sortWithinPartitions(*by).mapInPandas(met, "a long, b long"))
 
 
-def simhash_components(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, seed: int = 42, tables: int = 1, segments: int | None = None) -> DataFrame:
-    """(doc_id, fingerprint of 16 lowercase hex digits, component_id) for every row of docs.
-
-    Rows whose fingerprints differ by at most max_bits bits are linked; component_id is the smallest doc_id reachable,
-    its own included. With more tables, fingerprints of other bits of the same hashes link rows too: a pair that one
-    table misses by chance another may find. Rows of equal fingerprints, exact copies among them, count as one in all
-    the work on links. A null, empty or blank text has fingerprint 0 and is linked like any other. Rows that repeat a
-    doc_id each have a row. A null doc_id has a row and never is the smallest, unless all of its component are null.
-    Other columns are not read. An empty table gives an empty one.
-    """
+def rooted_rows(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, seed: int = 42, tables: int = 1, segments: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, f0, ..., node) for every row of docs, and (node, low, root) for every node: its smallest doc_id
+    and its component."""
     names = [f"f{k}" for k in range(tables)]
     node = F.col("f0") if tables == 1 else F.xxhash64(*names)
     own = written(fingerprints(docs, shingle, seed, tables).withColumn("node", node), "fingerprints")
@@ -227,19 +225,43 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2,
             links = links.unionByName(part)
     roots = components(links, "a", "b").withColumnRenamed("node", "of")
     rooted = written(nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "low", F.coalesce("root", "node").alias("root")), "roots")
+    return own, rooted
+
+
+def simhash_components(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, fingerprint of 16 lowercase hex digits, component_id) for every row of docs.
+
+    Rows whose fingerprints differ by at most max_bits bits are linked; component_id is the smallest doc_id reachable,
+    its own included. With more tables, fingerprints of other bits of the same hashes link rows too: a pair that one
+    table misses by chance another may find. Rows of equal fingerprints, exact copies among them, count as one in all
+    the work on links. A null, empty or blank text has fingerprint 0 and is linked like any other. Rows that repeat a
+    doc_id each have a row. A null doc_id has a row and never is the smallest, unless all of its component are null.
+    Takes the parameters of rooted_rows. Other columns are not read. An empty table gives an empty one.
+    """
+    own, rooted = rooted_rows(docs, **how)
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     found = rooted.select("node", "root").join(lows, "root").select(F.col("node").alias("of"), "component_id")
     return own.join(found, F.col("node") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of docs for each root of rooted (first: whether there is no doc_id, doc_id, key; root): that of the smallest first."""
+    found = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__k"))
+    keyed = docs.withColumn("__key", text_key())
+    kept = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+
+
 def simhash_dedup(docs: DataFrame, **how) -> DataFrame:
     """docs with one row for each component: that of the smallest doc_id; of several rows with it, one.
 
-    Takes simhash_components' parameters. Rows of a null doc_id are kept only if their component has no other.
+    Takes the parameters of rooted_rows. Rows of a null doc_id are kept only if their component has no other. Components
+    are told apart by doc_id and text, so that those of null or repeated ids have a row each.
     """
-    found = simhash_components(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    own, rooted = rooted_rows(docs, **how)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    by_node = own.groupBy("node").agg(F.min(first).alias("first"))  # copies are one node: partial sums before the join
+    return first_rows(docs, by_node.join(rooted.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of")).select("first", "root"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
