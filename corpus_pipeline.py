@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import lean, new_folder
 from plumbline.llm.language_id import UND, fit_language_id, identify
 from plumbline.llm.mixing import REST, WEIGHTS, mix_sources
+from plumbline.llm.near import near_dedup
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import redact_pii
-from plumbline.llm.simhash import simhash_dedup
 from plumbline.llm.token_counts import tokenizer_path
 
 #: Least score of a language; a document below it, or of no language, is rejected.
@@ -26,9 +26,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, four tables of SimHash)."""
+    """One document of each group of copies and near copies: similarity 0.8 or more of five-word shingles, verified."""
     lean(spark)
-    return simhash_dedup(docs, shingle=5, max_bits=5, segments=2, tables=4)
+    return near_dedup(docs, shingle=5, least=0.8)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
