@@ -45,6 +45,8 @@ def tokens(text: str | None) -> list[str]:
     return _token.findall(text.lower()) if text else []
 
 
+#: Words of the templates that any text may hold. All others are searched for however many files hold them.
+PLAIN = frozenset("a above all and any are as at be by either except for from have in into is it may met must not of on or other provided so subject such that the their there they this to under use used was were which will with without you your".split())
 VOCABULARY = frozenset(t for _, text in TEMPLATES for t in tokens(text))
 
 
@@ -55,7 +57,10 @@ class Scanner:
         self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1e-3 for _, text in templates for t in tokens(text)}
         self.other = math.log(1 + n) + 1e-3
         self.gap, self.least = gap, least
-        self.hits = frozenset(t for t, x in self.idf.items() if x >= min(rare, 0.5 * self.other))
+        # a notice in many files makes its own words frequent: they keep the weight from which words are searched for
+        bound = min(rare, 0.5 * self.other)
+        self.idf = {t: x if t in PLAIN else max(x, bound) for t, x in self.idf.items()}
+        self.hits = frozenset(t for t, x in self.idf.items() if x >= bound)
         self.templates = [(name, *self._vector(tokens(text))) for name, text in templates]
 
     def _vector(self, words: list[str]) -> tuple[dict[str, float], float]:
@@ -63,21 +68,26 @@ class Scanner:
         return v, math.sqrt(sum(x * x for x in v.values()))
 
     def segments(self, words: list[str]) -> list[tuple[int, int]]:
-        """Stretches of words from one rare template word to another, no more than `gap` words apart, of `least` at least."""
-        out, start, last, n = [], -1, -1, 0
-        hits = self.hits
-        for i in [i for i, w in enumerate(words) if w in hits]:
-            if start >= 0 and i - last <= self.gap:
-                n += 1
-            else:
-                if n >= self.least:
-                    out.append((start, last + 1))
-                start, n = i, 1
-            last = i
-        if n >= self.least:
-            out.append((start, last + 1))
+        """Stretches of words from one searched template word to another, no more than `gap` words apart, of `least` at
+        least; and their parts without a word that no template has, since such words outweigh those of a frequent notice."""
+        out, hits = [], self.hits
+        for at in self._runs([i for i, w in enumerate(words) if w in hits], lambda i, j: j - i <= self.gap):
+            out.append((at[0], at[-1] + 1))
+            foreign = [w not in self.idf for w in words[at[0] : at[-1] + 1]]
+            if any(foreign):
+                out += [(p[0], p[-1] + 1) for p in self._runs(at, lambda i, j: not any(foreign[i - at[0] : j - at[0]]))]
         return out
 
+    def _runs(self, places: list[int], near) -> list[list[int]]:
+        """The places in runs of neighbours that are near, `least` at least."""
+        runs: list[list[int]] = []
+        for i in places:
+            if runs and near(runs[-1][-1], i):
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        return [r for r in runs if len(r) >= self.least]
+
     def scan(self, text: str | None) -> tuple[str | None, float, float]:
         """The licence that a stretch of the text is most like (ties: the first name), its cosine, and the stretch's
         share of the text's words. (None, 0, 0) without a stretch."""
