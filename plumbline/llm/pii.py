@@ -64,11 +64,19 @@ def base_spans(text: str) -> list[Span]:
 #: ahead so that spans may overlap. Each is bounded.
 _at, _dot = r"(?:[ ]?[(\[{][ ]?at[ ]?[)\]}][ ]?|[ ]at[ ]|[ ]?@[ ]?)", r"(?:[ ]?[(\[{][ ]?dot[ ]?[)\]}][ ]?|[ ]dot[ ]|\.)"
 GENERATORS = (
-    ("email", re.compile(r"[@)\]}]|\bdot\b"), re.compile(rf"(?<![\w.%+-])(?=([\w.%+-]{{1,64}}{_at}[\w-]{{1,63}}(?:{_dot}[\w-]{{1,63}}){{1,5}}))", re.I)),
+    ("email", re.compile(r"[@)\]}]|\bdot\b", re.I), re.compile(rf"(?<![\w.%+-])(?=([\w.%+-]{{1,64}}{_at}[\w-]{{1,63}}(?:{_dot}[\w-]{{1,63}}){{1,5}}))", re.I)),
     ("ip", re.compile(r"\[\.\]|\(\.\)|:"), re.compile(r"(?<![\w:])(?=((?:[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)){3}[0-9]{1,3}(?![0-9])|(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![\w:])))")),
     ("card", _digit, re.compile(r"(?<![0-9])(?=([0-9]{4}(?:[ ./_-]?[0-9]{2,6}){2,5}(?![0-9])))")),
     ("phone", _digit, re.compile(r"(?<![0-9])(?=((?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,3}(?![0-9])))")),
 )
+#: Generators whose shorter spans count too: a number that follows is else taken for a part of the first one. A span
+#: ends with a run of digits and has at most LONGEST characters.
+SHORTER = {
+    "card": re.compile(r"[0-9]{4}(?:[ ./_-]?[0-9]{2,6}){2,5}"),
+    "phone": re.compile(r"(?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,3}"),
+}
+LONGEST = 48
+_run = re.compile("[0-9]+")
 #: Words of the context that speak for or against a kind.
 CUES = (
     re.compile(r"\b(?:e-?mail|mail|write|contact|reach|schreib|correo|courriel)", re.I),
@@ -81,8 +89,17 @@ CUES = (
 
 def candidates(text: str) -> list[Span]:
     """Overlapping spans that may be personal data, from every generator whose hint stands in the text: one for each
-    place where a pattern can begin."""
-    return [(kind, *m.span(1)) for kind, hint, pattern in GENERATORS if hint.search(text) for m in pattern.finditer(text)]
+    place where a pattern can begin, and for cards and phones one for each place where it can end."""
+    return [(kind, m.start(1), end) for kind, hint, pattern in GENERATORS if hint.search(text) for m in pattern.finditer(text) for end in ends(text, kind, m)]
+
+
+def ends(text: str, kind: str, m: re.Match) -> list[int]:
+    """Where a candidate that begins at this match can end."""
+    if kind not in SHORTER:
+        return [m.end(1)]
+    start = m.start(1)
+    stops = (r.end() for r in _run.finditer(text, start, start + LONGEST + 1) if r.end() <= start + LONGEST)
+    return [e for e in stops if SHORTER[kind].fullmatch(text, start, e)]
 
 
 def features(text: str, span: Span) -> list[float]:
