@@ -234,6 +234,36 @@ def test_best_fit_is_near_the_bound():
     assert len(packing.best_fit_runs({}, 10)) == 0
 
 
+def test_best_fit_in_shares(spark, monkeypatch):
+    r = random.Random(12)
+    monkeypatch.setattr(packing, "SHARE", 500)
+    for longest in (2048, 300, 2048 * 2):
+        counts = Counter(min(2048, r.randint(1, longest)) for _ in range(6000))
+        runs = packing.best_fit(spark.createDataFrame(sorted(counts.items()), "length long, n long"), 2048).collect()
+        fill, places = {}, {}
+        for x in runs:
+            places.setdefault(x.length, []).append((x.first, x.n))
+            for s in range(x.sequence, x.sequence + x.n):
+                fill.setdefault(s, []).append((x.offset, x.length))
+        for n, own in places.items():  # every rank once
+            assert [a for a, _ in sorted(own)] == [sum(k for _, k in sorted(own)[:i]) for i in range(len(own))] and sum(k for _, k in own) == counts[n]
+        assert set(places) == set(counts)
+        for parts in fill.values():
+            assert [a for a, _ in sorted(parts)] == [sum(k for _, k in sorted(parts)[:i]) for i in range(len(parts))] and sum(k for _, k in parts) <= 2048
+        alone = packing.best_fit_runs(counts, 2048)
+        assert len(fill) <= len({s for x in alone.itertuples() for s in range(x.sequence, x.sequence + x.n)}) * 1.02 + packing.SHARES
+    assert packing.best_fit(spark.createDataFrame([], "length long, n long"), 2048).count() == 0
+
+
+def test_ids_of_random_strings():
+    codec, r = packing.WordIds(packing.tokenizer_path("word_bpe_49k.json")), random.Random(1)
+    assert codec.of("KADİ.") == codec.encode("KADİ.")
+    alphabet = "abzKİıÉéßñÇ.,;:!?'’-_1٣²½ǅΣσ日\u0307\u0301 \t\n\x85\u00a0ﬁ"
+    for _ in range(100_000):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(1, 12)))
+        assert codec.of(text) == codec.encode(text), repr(text)
+
+
 def test_quality_counts(docs, none):
     for text in TEXTS:
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -263,9 +293,9 @@ def test_quality_divergence(spark):
     assert quality.js_distance(p, q) == pytest.approx(math.sqrt((kl(p1) + kl(q1)) / 2))
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     big = "<p>" + words(60000) + "</p>"
-    rows = [(5, "http://a/1", "<b>x</b>"), (2, None, "<b>x</b>"), (9, "http://a b\n/", None), (4, "u", ""), (7, "v", big), (8, "v", big), (8, "v", big), (None, "w", "<b>x</b>"), (None, "w", "only"), (11, "z", "é\r\n\r\n日本")]
+    rows = [(5, "http://a/1", "<b>x</b>"), (2, None, "<b>x</b>"), (2, None, "<b>x</b>"), (2, "http://a/2", "<b>x</b>"), (9, "http://a b\n/", None), (4, "u", ""), (7, "v", big), (7, "v", big), (7, "v", big), (8, "v", big), (8, "v", big), (None, "w", "<b>x</b>"), (None, "w", "only"), (11, "z", "é\r\n\r\n日本")]
     rows += [(100 + i, f"http://h/{i}", words(30)) for i in range(500)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("bundle", F.lit(1))
     folder = f"file://{tmp_path}/w"
@@ -275,11 +305,13 @@ def test_warc_round_trip(spark, tmp_path):
     for i, _, h in rows:
         if i is not None:
             first[h or ""] = min(first.get(h or "", i), i)
-    expected = Counter()
+    expected, seen = Counter(), set()
     for i, _, h in rows:
         raw = (h or "").encode()
         to = first.get(h or "")
-        to = None if to == i else to
+        if to == i and (h or "") not in seen:  # one row is the response, others of its page_id revisit it
+            seen.add(h or "")
+            to = None
         expected[(i, len(raw), warc.digest(raw), "response" if to is None else "revisit", to)] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected
     assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
@@ -292,7 +324,10 @@ def test_warc_round_trip(spark, tmp_path):
 
         assert len(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()) > 0
     short = warc.write_warc(pages, f"{folder}2", least=100)
-    assert {r.page_id for r in warc.read_warc(spark, f"{folder}2", short).where("record_type = 'revisit'").collect()} == {8}
+    assert {r.page_id for r in warc.read_warc(spark, f"{folder}2", short).where("record_type = 'revisit'").collect()} == {7, 8}
+    monkeypatch.setattr(warc, "BROADCAST", 1)  # the way of many repeated payloads
+    again = warc.read_warc(spark, f"{folder}4", warc.write_warc(pages, f"{folder}4"), payloads=True).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in again) == expected
     empty = warc.write_warc(pages.limit(0), f"{folder}3")
     assert warc.read_warc(spark, f"{folder}3", empty).count() == 0
 
@@ -366,7 +401,7 @@ def test_tree_passes_over_entries():
     x = np.floor(np.concatenate([c + rng.normal(0, 20, (200, 32)) for c in centers]))
     tree = topk.build_tree(np.arange(len(x)), x)
     best = []
-    seen = topk.search(tree, x[7], 7, 10, best)
+    seen = topk.search(tree, np.array([7]), x[[7]], 10, [best])
     assert seen < len(x) / 2 and sorted((-s, -i) for s, i in best) == sorted((-float(x[7] @ v), i) for i, v in enumerate(x) if i != 7)[:10]
 
 
@@ -396,6 +431,24 @@ def test_language_id(spark, none):
     assert language_id.identify(none, net, lang="lang_pred").count() == 0
 
 
+def test_letters_are_of_category_l(spark):
+    net = language_id.train(["the quick and the slow", "der die und das"], ["en", "de"], epochs=1)
+    rows = [(1, "½ ² ①"), (2, "ª"), (3, "日"), (4, "१२"), (5, "x²"), (6, None), (7, "")]
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    assert all(told[i] == ("und", 0.0) for i in (1, 4, 6, 7)) and all(told[i][0] in ("en", "de") for i in (2, 3, 5))
+
+
+def test_training_rows_are_bounded_and_whole(spark):
+    rows = [(i, f"{'abc' * (i % 50 + 1)} {i}", ["en", "en", "de"][i % 3]) for i in range(900)] + [(5000 + i, "zz", f"rare{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = language_id.training_sample(docs, 60, 2, 2000)
+    whole = {t for _, t, _ in rows}
+    assert set(langs) == {"en", "de"} and set(texts) <= whole and all(sum(len(t) for t, k in zip(texts, langs) if k == x) <= 2000 and langs.count(x) <= 60 for x in ("en", "de"))
+    held = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert not held & set(texts)
+    assert len(language_id.training_sample(docs, 60, 2, 1)[0]) == 2  # a document each, however long
+
+
 def test_windows_cover_every_position():
     for n in (0, 1, 3, 4, 253, 256, 257, 509, 510, 2000):
         w = language_id.text_windows("a" * n)
