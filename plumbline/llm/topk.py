@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .common import table, written
 
 #: Vectors of one tree, of one leaf page, and entries of one inner page; queries of one block.
 TREE, LEAF, FAN, BLOCK = 8192, 128, 16, 256
+#: Bytes of queries up to which they are broadcast to the trees; more are shuffled to them.
+BROADCAST = 32 << 20
 
 
 @dataclass
@@ -25,6 +29,7 @@ class Tree:
     Inner products become distances by one more coordinate, sqrt(top - |x|^2): a query (q, 0) is nearer to x the larger
     its inner product. Pages hold entries in a row: entry i of an inner page has a routing vector, a covering radius,
     its distance from the page's own routing vector, and a child page; of a leaf page a vector, its id and that distance.
+    peak is the largest component by size; it tells in which arithmetic scores are exact.
     """
 
     top: float
@@ -36,11 +41,39 @@ class Tree:
     route_parent: np.ndarray
     radius: np.ndarray
     child: np.ndarray
+    peak: float
+
+    def scores(self, rows: np.ndarray, qs: np.ndarray) -> np.ndarray:
+        """The exact inner products of queries with these vectors: in doubles while all sums stay below 2**53, else in
+        64-bit integers, else in whole numbers of any size."""
+        most = float(np.abs(qs).max(initial=0))
+        if self.peak * most * qs.shape[1] < 2.0**53:
+            return qs @ self.vectors[rows].T.astype(np.float64)
+        if max(self.peak, most, self.peak * most * qs.shape[1]) < 2.0**62:
+            return qs.astype(np.int64) @ self.vectors[rows].T.astype(np.int64)
+        whole = [list(map(int, x)) for x in self.vectors[rows].tolist()]
+        out = np.empty((len(qs), len(whole)), dtype=object)
+        for i, q in enumerate(qs.tolist()):
+            q = list(map(int, q))
+            out[i] = [sum(x * y for x, y in zip(q, v)) for v in whole]
+        return out
+
+
+def spread(points: np.ndarray, n: int) -> np.ndarray:
+    """n of the points, each the farthest from those chosen before it; the first is the farthest from the mean. So
+    clusters get a routing vector each, and covering radii stay small."""
+    chosen = [int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmax())]
+    far = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < n and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
 
 
 def build_tree(ids: np.ndarray, vectors: np.ndarray) -> Tree:
-    """Bulk load: at most FAN routing vectors are chosen, spread evenly, for a node; each vector goes to the nearest,
-    and each group is a child. Groups that don't divide (copies) are cut by number."""
+    """Bulk load: at most FAN routing vectors, far from each other, are chosen for a node from an even choice of its
+    vectors; each vector goes to the nearest, and each group is a child. Groups that don't divide (copies) are cut by
+    number."""
     x = vectors.astype(np.float64)
     norms = (x * x).sum(axis=1)
     top = float(norms.max(initial=0))
@@ -63,12 +96,14 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> Tree:
             leaf_parent.append(d)
             pages[page] = (True, start, start + len(rows))
             return page
-        centers = full[[rows[len(rows) * i // FAN] for i in range(FAN)]]
+        some = min(len(rows), 32 * FAN)
+        centers = spread(full[[rows[len(rows) * i // some] for i in range(some)]], FAN)
         d2 = (full[rows] ** 2).sum(axis=1)[:, None] - 2 * full[rows] @ centers.T + (centers**2).sum(axis=1)[None, :]
         to = d2.argmin(axis=1)
         if np.bincount(to).max() == len(rows):
             to = np.arange(len(rows)) * FAN // len(rows)
-        own = [(centers[i], rows[to == i]) for i in range(FAN) if (to == i).any()]
+            centers = np.repeat(centers[:1], FAN, axis=0)
+        own = [(centers[i], rows[to == i]) for i in range(len(centers)) if (to == i).any()]
         start = len(routes)
         for c, part in own:
             routes.append(c)
@@ -84,56 +119,75 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> Tree:
     grow(np.arange(len(x)), zero)
     order = np.concatenate(leaves)
     shape = (0, full.shape[1])
-    small = np.int32 if np.abs(x).max(initial=0) < 2**31 else np.float64
-    return Tree(top, ids[order], x[order].astype(small), np.concatenate(leaf_parent), pages, np.array(routes).reshape(len(routes), shape[1]), np.array(route_parent), np.array(radius), np.array(child, int))
+    peak = float(np.abs(x).max(initial=0))
+    small = np.int32 if peak < 2**31 else np.float64
+    return Tree(top, ids[order], x[order].astype(small), np.concatenate(leaf_parent), pages, np.array(routes).reshape(len(routes), shape[1]), np.array(route_parent), np.array(radius), np.array(child, int), peak)
 
 
-def search(tree: Tree, q: np.ndarray, own_id: int | None, k: int, best: list[tuple[float, int]]) -> int:
-    """Best-first search of one query. best is a heap of (score, -id), the k best so far, and is brought up to date;
-    the number of distances computed is returned.
+def search(tree: Tree, ids: np.ndarray, qs: np.ndarray, k: int, best: list[list[tuple[int, int]]]) -> int:
+    """Best-first search of a block of queries. best[i] is the heap of (score, -id) of query i, its k best so far, and is
+    brought up to date; the number of distances computed is returned.
 
-    Pages are taken by the least distance they can hold. An entry whose stored parent distance differs from the query's
+    Every query has a queue of pages by the least distance they can hold. In each round each takes its next pages, one
+    at first and then twice as many as before; queries on the same page are worked on together. An entry whose stored parent distance differs from the query's
     distance to the parent by more than its radius and the k-th best distance is passed over without a computation.
+    Bounds are widened by a ten-millionth of the distances' scale, far more than doubles lose; scores are exact.
     """
-    size = float(q @ q)
-    slack = 1e-9 * (size + tree.top + 1)
+    size = (qs * qs).sum(axis=1)
     base = size + tree.top
+    slack, tiny = 1e-9 * base + 1e-9, 1e-7 * np.sqrt(base) + 1e-9
+    bound, least = np.full(len(qs), np.inf), np.full(len(qs), -np.inf)
 
-    def limit() -> float:
-        return np.inf if len(best) < k else np.sqrt(max(0.0, base - 2 * best[0][0]) + slack)
-
-    lifted = np.append(q, 0.0)
-    queue: list[tuple[float, int, float]] = [(0.0, 0, float(np.sqrt(size)))]
-    seen = 0
-    while queue:
-        least, page, to_parent = heapq.heappop(queue)
-        bound = limit()
-        if least > bound:
-            break
+    def narrow(i: int) -> None:
+        if len(best[i]) == k:
+            least[i] = np.nextafter(float(best[i][0][0]), -np.inf)  # no more than the k-th score, whatever its size
+            bound[i] = np.sqrt(max(0.0, base[i] - 2.0 * float(best[i][0][0])) + slack[i]) + tiny[i]
+
+    def taken(page: int, own: np.ndarray, far: np.ndarray) -> int:
+        """These queries, at these distances from the page's routing vector, meet the page's entries."""
         leaf, a, b = tree.pages[page]
         if leaf:
-            near = np.flatnonzero((np.abs(tree.parent[a:b] - to_parent) <= bound + 1e-6) & (tree.ids[a:b] != own_id)) + a
-            seen += len(near)
-            scores = tree.vectors[near] @ q
-            if len(best) == k:
-                good = scores >= best[0][0]
-                near, scores = near[good], scores[good]
-            if len(near) > k:
-                floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-                near, scores = near[scores >= floor], scores[scores >= floor]
-            for s, i in zip(scores.tolist(), tree.ids[near].tolist()):
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
-        else:
-            near = np.flatnonzero(np.abs(tree.route_parent[a:b] - to_parent) - tree.radius[a:b] <= bound + 1e-6) + a
-            seen += len(near)
-            d = np.sqrt(((tree.routes[near] - lifted) ** 2).sum(axis=1))
-            for i, dist in zip(near.tolist(), d.tolist()):
-                nearest = max(0.0, dist - tree.radius[i] - 1e-6)
-                if nearest <= bound:
-                    heapq.heappush(queue, (nearest, int(tree.child[i]), dist))
+            near = (np.abs(tree.parent[a:b][None, :] - far[:, None]) <= bound[own][:, None]) & (tree.ids[a:b][None, :] != ids[own][:, None])
+            rows = np.flatnonzero(near.any(axis=0))
+            if len(rows):
+                found, names = tree.scores(rows + a, qs[own]), tree.ids[rows + a]
+                good = near[:, rows] & (found >= least[own][:, None]).astype(bool)
+                for j in np.flatnonzero(good.any(axis=1)).tolist():
+                    i, s, n = int(own[j]), found[j, good[j]], names[good[j]]
+                    if len(s) > k:
+                        first = s >= np.sort(s)[len(s) - k]
+                        s, n = s[first], n[first]
+                    for x in zip(map(int, s.tolist()), (-n).tolist()):
+                        if len(best[i]) < k:
+                            heapq.heappush(best[i], x)
+                        elif x > best[i][0]:
+                            heapq.heapreplace(best[i], x)
+                    narrow(i)
+            return int(near.sum())
+        near = np.abs(tree.route_parent[a:b][None, :] - far[:, None]) - tree.radius[a:b][None, :] <= bound[own][:, None]
+        routes = tree.routes[a:b]
+        d = np.sqrt(np.maximum(0.0, size[own][:, None] + (routes * routes).sum(axis=1)[None, :] - 2 * qs[own] @ routes[:, :-1].T))
+        closest = np.maximum(0.0, d - tree.radius[a:b][None, :] - tiny[own][:, None])
+        for j, e in zip(*map(np.ndarray.tolist, np.nonzero(near & (closest <= bound[own][:, None])))):
+            heapq.heappush(queues[own[j]], (closest[j, e], int(tree.child[a + e]), d[j, e]))
+        return int(near.sum())
+
+    for i in range(len(qs)):
+        narrow(i)
+    queues: list[list[tuple[float, int, float]]] = [[(0.0, 0, float(np.sqrt(x)))] for x in size]
+    alive, seen, turn = list(range(len(qs))), 0, 1
+    while alive:
+        at: dict[int, list[tuple[int, float]]] = {}
+        for i in alive:
+            for _ in range(min(turn, len(queues[i]))):
+                closest, page, far = heapq.heappop(queues[i])
+                if closest > bound[i]:
+                    queues[i] = []
+                    break
+                at.setdefault(page, []).append((i, far))
+        for page, own in at.items():
+            seen += taken(page, np.array([i for i, _ in own]), np.array([f for _, f in own]))
+        alive, turn = [i for i in alive if queues[i]], 2 * turn
     return seen
 
 
@@ -146,10 +200,11 @@ def _usable(value) -> np.ndarray | None:
 
 
 def packed(rows: DataFrame, most: int, make) -> DataFrame:
-    """(blob binary): the usable vectors of each task in lots of at most `most` of one dimension."""
+    """(part long, blob binary): the usable vectors of each task in lots of at most `most` of one dimension, numbered."""
 
     def lots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[list, list]] = {}
+        parts = itertools.count(TaskContext.get().partitionId() << 32)
         for frame in frames:
             for i, value in zip(frame["vec_id"], frame["embedding"]):
                 x = _usable(value)
@@ -158,14 +213,14 @@ def packed(rows: DataFrame, most: int, make) -> DataFrame:
                     ids.append(int(i))
                     xs.append(x)
                     if len(ids) == most:
-                        yield lot(*held.pop(len(x)))
+                        yield lot(next(parts), *held.pop(len(x)))
         for ids, xs in held.values():
-            yield lot(ids, xs)
+            yield lot(next(parts), ids, xs)
 
-    def lot(ids: list, xs: list) -> pd.DataFrame:
-        return pd.DataFrame({"blob": [pickle.dumps(make(np.array(ids, np.int64), np.stack(xs)))]})
+    def lot(part: int, ids: list, xs: list) -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], "blob": [pickle.dumps(make(np.array(ids, np.int64), np.stack(xs)))]})
 
-    return rows.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").mapInPandas(lots, "blob binary")
+    return rows.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding").mapInPandas(lots, "part long, blob binary")
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -173,39 +228,44 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     floor(1024 * component), ties to the smaller vec_id; all, if there are fewer. Both have vec_id and embedding.
 
     Each task loads its candidates into M-trees of at most TREE vectors, written as a table. Queries, in blocks of at
-    most BLOCK, meet the trees; a task searches its trees one after the other and hands on a query's k best so far. Only
-    k rows for each query and task go on to be ranked, and of those k again before the shuffle. Scores are sums of
-    products of integers in doubles, exact below 2**53. Vectors that are null, empty, or hold a null or non-finite
-    component, and rows of a null vec_id, take no part; nor do candidates of another dimension than the query's. Rows of
-    the query's vec_id are its own and no candidates; repeated query rows count once, repeated candidates each.
+    most BLOCK, meet every tree: blocks of BROADCAST bytes together are broadcast, more are dealt out to the trees by a
+    shuffle. A task searches its trees one after the other and hands on a query's k best so far. Only k rows for each
+    query and task go on to be ranked, and of those k again before the shuffle. Scores are exact (a score beyond a long
+    shows as the nearest long). Vectors that are null, empty, or hold a null or non-finite component, and rows of a null
+    vec_id, take no part; nor do candidates of another dimension than the query's. Rows of the query's vec_id are its own
+    and no candidates; repeated query rows count once, repeated candidates each. Empty tables give an empty result; other
+    columns are not read.
     """
-    trees = written(packed(candidates, TREE, build_tree), "trees")
+    trees = written(packed(candidates, TREE, build_tree), "trees").select(F.col("part").alias("tree_part"), F.col("blob").alias("tree"))
     asked = queries.dropDuplicates(["vec_id", "embedding"])
-    blocks = written(packed(asked.repartition(asked.count() // BLOCK + 1), BLOCK, lambda ids, xs: (ids, xs)), "queries")
+    blocks = written(packed(asked.repartition(asked.count() // BLOCK + 1), BLOCK, lambda ids, xs: (ids, xs)), "queries").select(F.col("blob").alias("block"))
 
     def searched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
-        trees: tuple = (None, None)
+        last: tuple = (None, None)
         for frame in frames:
-            for tree_blob, block_blob in zip(frame["tree"], frame["block"]):
+            for part, tree_blob, block_blob in zip(frame["tree_part"], frame["tree"], frame["block"]):
                 ids, qs = pickle.loads(block_blob)
-                if trees[0] != tree_blob:
-                    tree = pickle.loads(tree_blob)
-                    tree.vectors = tree.vectors.astype(np.float64)
-                    trees = (tree_blob, tree)
-                for i, q in zip(ids, qs) if qs.shape[1] == trees[1].vectors.shape[1] else ():
-                    search(trees[1], q, int(i), k, held.setdefault((int(i), q.tobytes()), []))
+                if last[0] != part:
+                    last = (part, pickle.loads(tree_blob))
+                if qs.shape[1] == last[1].vectors.shape[1]:
+                    search(last[1], ids, qs, k, [held.setdefault((int(i), q.tobytes()), []) for i, q in zip(ids, qs)])
             if len(held) > 20_000:
                 yield given(held)
                 held = {}
         yield given(held)
 
     def given(held: dict) -> pd.DataFrame:
-        rows = [(i, int.from_bytes(hash_of(v), "little", signed=True), -n, int(s)) for (i, v), best in held.items() for s, n in best]
+        rows = [(i, int.from_bytes(hash_of(v), "little", signed=True), -n, max(-(2**63), min(2**63 - 1, s))) for (i, v), best in held.items() for s, n in best]
         return pd.DataFrame(rows, columns=["query_id", "q", "vec_id", "score"])
 
-    # blocks, not rows, meet; a join by dim, which has one value, would send all to one task
-    met = trees.select(F.col("blob").alias("tree")).crossJoin(blocks.select(F.col("blob").alias("block")))
+    # every block meets every tree; a join by dimension, which has one value, would send all to one task
+    if (blocks.agg(F.sum(F.length("block"))).first()[0] or 0) <= BROADCAST:
+        met = trees.crossJoin(F.broadcast(blocks))
+    else:
+        n = max(1, trees.count())
+        dealt = trees.withColumn("g", F.pmod(F.xxhash64("tree_part"), F.lit(n)))
+        met = dealt.join(blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).hint("merge"), "g").select("tree_part", "tree", "block")
     found = met.mapInPandas(searched, "query_id long, q long, vec_id long, score long")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -224,13 +284,13 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 q AS (SELECT DISTINCT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
 s AS (
-  SELECT query_id, qe, vec_id, CAST(list_inner_product(qe, e) AS BIGINT) AS score
+  SELECT query_id, qe, vec_id, CAST(list_sum(list_transform(list_zip(qe, e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM q JOIN v ON vec_id <> query_id AND len(e) = len(qe)),
 r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id, qe ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
