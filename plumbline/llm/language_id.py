@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import TEXT_BYTES, table, with_new
 
 WIDTHS, FILTERS, DIM, WINDOW = (2, 3, 4), 16, 8, 256
 TAPS = max(WIDTHS)
 #: A window shares its last bytes with the next, so that every position of a text begins one convolution.
 STEP = WINDOW - TAPS + 1
 UND = "und"
-_letter = re.compile(r"[^\W\d_]")
 _is_letter = np.array([chr(b).isalpha() or b >= 0xC3 for b in range(256)])
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L stands in the text (superscripts and fractions are none)."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class Network:
     """langs; byte vectors (256, DIM); kernels (TAPS, DIM, filters) with zeros past a filter's width; biases; softmax layer."""
@@ -49,14 +51,13 @@ def text_windows(text: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STEP]
 
 
-def train(texts: list[str], langs: list[str], *, windows: int = 4, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """A network fitted by Adam to at most `windows` windows of each text. The same input gives the same network."""
+def train(texts: list[str], langs: list[str], *, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
+    """A network fitted by Adam to all windows of each text. The same input gives the same network."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     xs, ys = [], []
     for text, lang in zip(texts, langs):
         own = text_windows(text)
-        own = own[rng.permutation(len(own))[:windows]]
         xs.append(own)
         ys += [names.index(lang)] * len(own)
     x, y = np.concatenate(xs), np.array(ys)
@@ -106,7 +107,7 @@ def predict(net: Network, tables: tuple[np.ndarray, np.ndarray], texts: list[str
     kinds, scores = [UND] * len(texts), np.zeros(len(texts))
     held, owners = [], []
     for i, text in enumerate(texts):
-        if text and net.langs and _letter.search(text):
+        if text and net.langs and has_letter(text):
             own = text_windows(text)
             held.append(own)
             owners.append(np.full(len(own), i))
@@ -138,62 +139,62 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int, total: int, chars: int) -> tuple[list[str], list[str]]:
-    """Texts and langs to learn from: at most per_lang documents of a lang, total in all, chars of each.
+def training_sample(docs: DataFrame, per_lang: int, langs: int, chars: int) -> tuple[list[str], list[str]]:
+    """Whole texts and their langs to learn from, of the `langs` most frequent ones (ties: the first names).
 
-    Taken by hash of doc_id among rows of a lang and not held out; of a text longer than chars, a stretch at a place
-    that the hash picks. First the langs are counted, then only rows below a hash threshold come to the driver.
+    A lang gives at most per_lang documents, and of them no more than have chars characters together, one at least: those
+    of the smallest hashes of doc_id among its rows with text that are not held out. First the langs are counted, then
+    lengths alone are ranked below a hash threshold, then the texts chosen come to the driver: langs * chars characters
+    at most, but for a document that alone is longer.
     """
-    known = docs.where("lang is not null and text is not null").where(~held_out())
-    langs = {r[0]: r[1] for r in known.groupBy("lang").count().limit(total + 1).collect()}
-    if len(langs) > total:
-        raise ValueError(f"more than {total} values of lang: raise total")
-    if not langs:
+    known = docs.where("lang is not null and length(text) > 0").where(~held_out())
+    counts = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
+    if not counts:
         return [], []
-    most = max(1, min(per_lang, total // len(langs)))
-    u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 30))
-    bound = F.lit(0)
-    for lang, n in langs.items():
-        bound = F.when(F.col("lang") == lang, int(min(1.0, 1.5 * most / n) * (1 << 30))).otherwise(bound)
-    at = F.lit(1) + F.pmod(F.xxhash64(F.lit(12), F.col("doc_id")), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int")
-    rows = known.select("lang", u.alias("u"), "doc_id", F.substring(F.col("text"), at, F.lit(chars)).alias("text"), bound.alias("bound")).where("u < bound").limit(3 * total).collect()
-    texts, names = [], []
-    for lang in langs:
-        own = sorted((r for r in rows if r["lang"] == lang and _letter.search(r["text"])), key=lambda r: (r["u"], str(r["doc_id"]), r["text"]))[:most]
-        texts += [r["text"] for r in own]
-        names += [lang] * len(own)
-    return texts, names
-
-
-def fit_language_id(docs: DataFrame, *, per_lang: int = 400, total: int = 8000, chars: int = 1200, **how) -> Network:
-    """A network learnt from training_sample(docs); without any labelled text, one that knows no language."""
-    texts, langs = training_sample(docs, per_lang, total, chars)
+    u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
+    bounds = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.5 * per_lang / n) * (1 << 30))) for k, n in counts.items()], "l string, bound long")
+    rows = known.select("lang", "doc_id", "text", u.alias("u")).join(F.broadcast(bounds), F.col("lang") == F.col("l")).where("u < bound").drop("l", "bound")
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    ranked = rows.select("lang", "doc_id", "u", F.length("text").alias("n")).withColumns({"k": F.row_number().over(order), "held": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    last = ranked.where((F.col("k") == 1) | ((F.col("k") <= per_lang) & (F.col("held") <= chars))).groupBy("lang").agg(F.max("u").alias("last"))
+    chosen = rows.join(F.broadcast(last.withColumnRenamed("lang", "l")), (F.col("lang") == F.col("l")) & (F.col("u") <= F.col("last"))).dropDuplicates(["lang", "u"])
+    found = sorted((r["lang"], r["u"], r["text"]) for r in chosen.select("lang", "u", "text").collect() if has_letter(r["text"]))
+    return [t for _, _, t in found], [k for k, _, _ in found]
+
+
+def fit_language_id(docs: DataFrame, *, per_lang: int = 400, langs: int = 100, chars: int = 500_000, **how) -> Network:
+    """A network learnt from training_sample(docs); without any labelled text, one that knows no language. Rows of a lang
+    beyond the `langs` most frequent teach it nothing."""
+    texts, names = training_sample(docs, per_lang, langs, chars)
     if not texts:
         return Network([], *(np.zeros(s, np.float32) for s in ((256, DIM), (TAPS, DIM, 1), (1,), (1, 0), (0,))))
-    return train(texts, langs, **how)
+    return train(texts, names, **how)
 
 
 def identify(docs: DataFrame, net: Network, *, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score (0 to 1), from the whole text alone.
 
     A null text, or one without a letter, gets `und` and 0; so does every text if the network knows no language.
-    Columns of docs named like the new ones give way. Ties go to the language first by name.
+    Columns of docs named like the new ones give way. Ties go to the language first by name. Repeated rows are told
+    alike; an empty table gives an empty one. Texts alone go to Python.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)  # about 30 KB, by the network's shape
-    columns = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
-    kinds = dict(docs.dtypes)
 
-    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang string, score double")
+    def told(texts: pd.Series) -> pd.DataFrame:
         own = sent.value
         tables = own.tables() if own.langs else None
-        for frame in frames:
-            for part in batches([frame], "__text"):
-                names, scores = predict(own, tables, part["__text"].tolist())
-                yield part[[f"__c{i}" for i in range(len(columns))]].assign(lang=names, score=scores)
-
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)), F.col("text").alias("__text"))
-    schema = ", ".join([*(f"__c{i} {kinds[c]}" for i, c in enumerate(columns)), "lang string, score double"])
-    return renamed.mapInPandas(told, schema).toDF(*columns, lang, score)
+        names, scores, held, size = [], [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= TEXT_BYTES:
+                a, b = predict(own, tables, held)
+                names, scores, held, size = names + a, [*scores, *b], [], 0
+        a, b = predict(own, tables, held)
+        return pd.DataFrame({"lang": names + a, "score": [*scores, *b]}).astype({"score": float})
+
+    return with_new(docs.withColumn("__told", told("text")), {lang: F.col("__told.lang"), score: F.col("__told.score")}).drop("__told")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
