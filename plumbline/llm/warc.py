@@ -21,8 +21,10 @@ from .common import batches, new_folder, table, written
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Raw bytes of a frame, compressed bytes of a bundle, from which on the next one is begun.
 FRAME, BUNDLE = 256 << 10, 8 << 20
-#: Repeated payloads up to which the table of their first pages (some 100 bytes each) is broadcast; else it is shuffled.
-BROADCAST = 300_000
+#: Records of a bundle at most.
+RECORDS = 100_000
+#: Repeated payloads whose first pages (some 100 bytes each) are broadcast, the most repeated ones; others are shuffled to.
+BROADCAST = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _control = re.compile(r"[\x00-\x20\x7f]")
 
@@ -31,13 +33,14 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """A response record with its payload, or, given refers_to, a revisit record with the HTTP headers alone."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, told: str, refers_to: int | None, date: str) -> bytes:
+    """A response record with its payload, or, given refers_to, a revisit record with the HTTP headers alone. size and
+    told are the payload's bytes and digest."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + (payload or b"")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     lines.append(f"WARC-Target-URI: {_control.sub(lambda m: f'%{ord(m[0]):02X}', url or 'about:blank')}")
-    lines.append(f"WARC-Payload-Digest: sha1:{digest(payload)}")
+    lines.append(f"WARC-Payload-Digest: sha1:{told}")
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -103,7 +106,7 @@ class Bundle:
 
 
 def seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
-    """Place, compressed and raw size of each frame, from the table at a bundle's end."""
+    """Place, compressed and raw size of each frame, from the table at the end of a bundle, or of its last bytes."""
     n, flags, mark = struct.unpack("<IBI", bundle[-9:])
     if mark != SEEKABLE or flags & 0x7F:
         raise ValueError("no seek table")
@@ -140,23 +143,52 @@ def put_file(uri: str, data: bytes) -> None:
     store.move(f"{path}.part", path)
 
 
+def revisits(rows: DataFrame, least: int) -> DataFrame:
+    """rows (page_id, url, html, digest, size) with refers_to; html is null where it is set.
+
+    Of rows with equal payloads of at least `least` bytes one is first: that of the smallest page_id, of several rows
+    with it that of the smallest hash of its url, of equal rows any one. Rows that repeat a first page_id are counted,
+    not gathered: they are merged by partial aggregates and made again from their number.
+    """
+    place = F.xxhash64("url")
+    each = rows.where(F.col("size") >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
+    best = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n", "at")).alias("f")
+    firsts = written(each.groupBy("digest").agg(best, F.sum("n").alias("k")).where("k > 1 and not f.none").select(F.col("digest").alias("__d"), F.col("f.page_id").alias("first"), F.col("f.n").alias("n"), F.col("f.at").alias("at"), "k"), "firsts")
+    # the most repeated payloads meet their rows without a shuffle; each other one is a small part of all rows
+    many = firsts.count() > BROADCAST
+    top = firsts.orderBy(F.desc("k"), "__d").limit(BROADCAST) if many else firsts
+    joined = rows.join(F.broadcast(top), F.col("digest") == F.col("__d"), "left")
+    if many:
+        rest = firsts.join(F.broadcast(top.select(F.col("__d").alias("__t"))), F.col("__d") == F.col("__t"), "left_anti")
+        late = joined.where("__d is null").select(*rows.columns).join(rest.hint("merge"), F.col("digest") == F.col("__d"), "left")
+        joined = joined.where("__d is not null").unionByName(late)
+    mine = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
+    twice = mine & (F.col("n") > 1)
+    refers = F.when(~mine, F.col("first"))
+    out = joined.where(~twice | F.col("first").isNull()).select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "size", refers.alias("refers_to"))
+    if firsts.where("n > 1").isEmpty():
+        return out
+    merged = joined.where(twice).groupBy("digest", "page_id", "url", "size", "at").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("n"))
+    ahead = place == F.col("at")
+    response = merged.where(ahead).select("page_id", "url", "html", "digest", "size", F.lit(None).cast("long").alias("refers_to"))
+    copies = merged.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "size", F.col("page_id").alias("refers_to"), F.explode(F.expr("sequence(1, n)")).alias("c"), ahead.alias("ahead"))
+    return out.unionByName(response).unionByName(copies.where("not ahead or c > 1").drop("c", "ahead"))
+
+
 def write_warc(pages: DataFrame, folder: str, *, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) in bundles below folder; returns the index as a table:
     page_id, bundle (file name), frame, start (in the frame), length.
 
     Of the records whose payloads (html in UTF-8, null: empty) are equal and of at least `least` bytes, the one with the
-    smallest page_id is a response and the others revisit it; shorter ones are responses all. Rows that repeat that
-    smallest page_id with the same payload are responses too. A record of a null page_id revisits a numbered one if
-    there is one, else it is a response. A null url becomes about:blank. Other columns are not read; an empty table
-    gives no bundle. The smallest ids are partial minima by digest, so copies in any number don't meet in a task; the
-    index names only bundles of tasks that counted, so files that a lost or repeated task left are never read.
+    smallest page_id is a response and the others revisit it; shorter ones are responses all. Of several rows with that
+    page_id one is the response, the others revisit it. A record of a null page_id revisits a numbered one if there is
+    one, else it is a response. A null url becomes about:blank. Other columns are not read; an empty table gives no
+    bundle. The smallest ids are partial minima by digest, so copies in any number don't meet in a task, and a revisit's
+    payload never goes to Python; the index names only bundles of tasks that counted, so files that a lost or repeated
+    task left are never read.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("__d"), F.octet_length(payload).alias("__n"))
-    firsts = written(rows.where(F.col("__n") >= least).groupBy("__d").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__k")).where("__k > 1 and __first is not null").select(F.col("__d").alias("__e"), "__first"), "firsts")
-    if firsts.count() <= BROADCAST:  # else rows are shuffled by digest, html and all
-        firsts = F.broadcast(firsts)
-    typed = rows.join(firsts, F.col("__d") == F.col("__e"), "left").select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("__first"), F.col("__first").isNotNull()), F.col("__first")).alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundle, ids = Bundle(), []
@@ -169,52 +201,98 @@ def write_warc(pages: DataFrame, folder: str, *, least: int = 0, date: str = "19
             out.insert(0, "page_id", pd.array(ids, "Int64"))
             return out
 
+        whole = lambda v: None if pd.isna(v) else int(v)
         for frame in frames:
             for part in batches([frame], "html"):
-                for page, url, html, first in zip(part["page_id"], part["url"], part["html"], part["refers_to"]):
-                    whole = lambda v: None if pd.isna(v) else int(v)
-                    bundle.add(record(whole(page), url, html.encode("utf-8", "surrogatepass"), whole(first), date))
+                for page, url, html, sha1, size, first in zip(*(part[c] for c in ("page_id", "url", "html", "digest", "size", "refers_to"))):
+                    told = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    bundle.add(record(whole(page), url, html.encode("utf-8", "surrogatepass") if html is not None else None, int(size), told, whole(first), date))
                     ids.append(whole(page))
-                    if bundle.size() >= BUNDLE:
+                    if bundle.size() >= BUNDLE or len(ids) >= RECORDS:
                         yield close()
                         bundle, ids = Bundle(), []
         if ids:
             yield close()
 
-    return written(typed.mapInPandas(write, "page_id long, bundle string, frame int, start long, length long"), "index")
+    return written(revisits(rows, least).mapInPandas(write, "page_id long, bundle string, frame int, start long, length long"), "index")
 
 
-def get_file(uri: str) -> bytes:
-    from pyarrow import fs
+class Reader:
+    """A bundle in the store, read by its seek table: a frame at a time, by its bytes alone."""
 
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path, compression=None) as stream:
-        return stream.read()
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        self.file = store.open_input_file(path)
+        size = self.file.size()
+        n = struct.unpack("<IBI", self.file.read_at(9, size - 9))[0]
+        tail = min(size, 17 + 8 * n)
+        self.places = seek_table(self.file.read_at(tail, size - tail))
+
+    def frame(self, k: int) -> bytes:
+        at, packed, raw = self.places[k]
+        return read_frame(self.file.read_at(packed, at), (0, packed, raw))
 
 
 def read_warc(spark: SparkSession, folder: str, index: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record of the indexed bundles, read back from their files: page_id, payload_bytes, payload_digest,
-    record_type, refers_to and, if asked for, payload. Names, not contents, are dealt out; a task holds a bundle at a
-    time. Frames are found by the seek table and read one by one; a damaged payload is an error."""
+    """The records of an index, read back from their bundles: page_id, payload_bytes, payload_digest, record_type,
+    refers_to and, if asked for, payload.
+
+    Index rows, not contents, are dealt out by bundle and sorted by place; a task reads the bytes of one frame at a time,
+    found by the bundle's seek table, and takes each record at its offset. A record that is not where the index says, or
+    a damaged payload, is an error.
+    """
 
     def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, reader, at, raw = None, None, -1, b""
         for frame in frames:
-            for name in frame["bundle"]:
-                bundle = get_file(f"{folder}/{name}")
-                for place in seek_table(bundle):
-                    raw, at, rows = read_frame(bundle, place), 0, []
-                    while at < len(raw):
-                        row, at = parse(raw, at)
-                        rows.append(row)
-                    out = pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
-                    yield out[["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if payloads else [])]]
-
-    names = index.select("bundle").distinct()
+            rows = []
+            for page, bundle, k, start, length in zip(*(frame[c] for c in ("page_id", "bundle", "frame", "start", "length"))):
+                if bundle != name:
+                    name, reader, at = bundle, Reader(f"{folder}/{bundle}"), -1
+                if k != at:
+                    at, raw = k, reader.frame(k)
+                row, end = parse(raw, start)
+                if end - start != length or row["page_id"] != (None if pd.isna(page) else page):
+                    raise ValueError(f"{bundle}: no record of page {page} at {start} of frame {k}")
+                rows.append(row)
+                if len(rows) == 500:
+                    yield shaped(rows)
+                    rows = []
+            if rows:
+                yield shaped(rows)
+
+    def shaped(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+        return out[["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if payloads else [])]]
+
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return names.repartition(min(10_000, names.count() + 1), "bundle").mapInPandas(told, schema)
+    names = index.select("bundle").distinct().count()
+    dealt = index.repartition(min(10_000, names + 1), "bundle").sortWithinPartitions("bundle", "frame", "start")
+    return dealt.mapInPandas(told, schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     index = write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder, index)
+
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: base32 in SQL: the digest's bits as text, five at a time.
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, hex, strlen(body) AS payload_bytes,
+         array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(CAST('0x' || substr(hex, i, 1) AS INTEGER)), 4)), '') AS bits
+  FROM p),
+k AS (
+  SELECT page_id, hex, payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('{_DIGITS}', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) * (1 << CAST(4 - j AS INTEGER)))) AS INTEGER), 1)), '') AS payload_digest,
+         min(page_id) OVER (PARTITION BY hex) AS first, row_number() OVER (PARTITION BY hex ORDER BY page_id NULLS LAST) AS n
+  FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN n = 1 OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to
+FROM k
+"""
