@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,11 +19,17 @@ TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
 _written: list = []
 
 
+#: Arrow settings that hold texts in small batches, and the defaults of Spark that they replace.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def lean(spark: SparkSession) -> SparkSession:
-    """Texts can be long: if the session's Arrow batches are at Spark's default of 10,000 rows, they are set to 2,000, so
-    that Python workers hold a few MB at a time."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Texts can be long: Arrow batches of the session that are at Spark's defaults become smaller (2,000 rows, 8 MB), so
+    that Python workers hold a few MB at a time. Both are settings of a running session that queries read when they run,
+    after the operator has returned, so they can't be put back here; ones that the caller has set stay."""
+    for key, (default, small) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
     return spark
 
 
@@ -31,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset (tests, a laptop) a
-    folder of this machine is taken and set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset and all runs in this
+    process (tests, a laptop), a folder of this machine is taken and set; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates share a band of MinHashes, each is verified."""
+"""Near-duplicates by the Jaccard similarity of word shingles, verified pair by pair.
+
+SimHash (simhash.py) gives the first candidates, those of few differing bits. It can't give all: at a similarity of 0.8
+some ten of 64 bits differ. What it leaves is found by bands of MinHashes and, inside crowded bands, by rare shingles.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +16,18 @@ from pyspark.sql import functions as F
 
 from .common import batches, written
 from .components import components
-from .simhash import first_rows, shingle_hashes, text_key
+from .simhash import first_rows, majority, shingle_hashes, simhash_links, text_key
 
 #: Bands of WIDTH MinHashes: of pairs of similarity 0.8 all but (1 - 0.8 ** 4) ** 20, 1 in 38,000, share one.
 BANDS, WIDTH = 20, 4
-#: Rounds in which a node meets one leader only, before all pairs that are left.
-ROUNDS = 4
+#: Differing bits of fingerprints up to which SimHash proposes a pair: two segments find every such pair.
+BITS = 3
 #: Pairs of one leader from which its set is broadcast instead of shuffled.
 HOT = 1000
+#: Rows (some 60 bytes each) up to which the table of wanted texts is broadcast to the texts.
+BROADCAST = 300_000
+#: Counters of shingles by hash; they only order a text's shingles, so that one that counts for several does no harm.
+COUNTERS = 1 << 18
 _seeds = np.random.default_rng(7).integers(1, 2**63, (2, BANDS * WIDTH), np.uint64) | np.uint64(1)
 
 
@@ -41,14 +49,23 @@ def signed(own: np.ndarray) -> int:
 def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """(a, b) between nodes, connecting what candidate pairs of similarity `least` or more connect.
 
-    A pair of one component needs no verification. So each node first meets one leader of its runs (the nodes of one
-    band's hash) in each of some rounds, by which large groups come together without all their pairs; then all pairs of
-    different components in a run are verified.
+    Candidates are pairs of SimHash links and pairs that share a band (a run is the nodes of one band's hash). A pair of
+    one component needs no verification. So SimHash links are verified first; then each node meets its runs' leaders,
+    the most central nodes, by which large groups come together without all their pairs; `rare_pairs` finds what is
+    left between components.
     """
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k")), "firsts")
+    of = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first"))
+    near = simhash_links(firsts.select("fp"), BITS).join(of("a"), "a").join(of("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    same = nodes.select("node", F.col("fp").alias("p")).join(firsts.where("k > 1"), F.col("p") == F.col("fp")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    proposed = written(near.unionByName(same).where("a <> b"), "proposed")
     rows = nodes.select("node", "size", F.posexplode("bands").alias("band", "h"))
-    runs = rows.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h")
+    runs = rows.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(rows.join(runs, ["band", "h"]), "members")
-    wanted = members.select(F.col("node").alias("of")).distinct().join(nodes, F.col("node") == F.col("of")).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__k"))
+    degrees = members.groupBy(F.col("node").alias("of")).agg(F.sum("n").alias("degree"))
+    ends = proposed.select(F.col("a").alias("of")).unionByName(proposed.select(F.col("b").alias("of"))).unionByName(members.select(F.col("node").alias("of"))).distinct()
+    wanted = written(ends.join(nodes, F.col("node") == F.col("of")).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__k")), "wanted")
+    wanted = wanted.hint("broadcast" if wanted.count() <= BROADCAST else "merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__k")), "left_semi")
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,45 +85,92 @@ def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) ->
         both = F.size(F.array_intersect("x", "y"))
         return written(met.where(both >= least * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"), "near")
 
-    def placed(links: DataFrame | None) -> DataFrame:
-        if links is None:
-            return members.withColumn("root", F.col("node"))
+    def placed(links: DataFrame) -> DataFrame:
         roots = components(links, "a", "b").withColumnRenamed("node", "of")
-        return written(members.join(roots, F.col("node") == F.col("of"), "left").select(*members.columns, F.coalesce("root", "node").alias("root")), "placed")
-
-    links = None
-    for k in range(ROUNDS):
-        at = placed(links)
-        rank = F.xxhash64(F.lit(k), "node")
-        leads = at.groupBy("band", "h").agg(F.min(F.struct(rank.alias("rank"), "node", "root", "size")).alias("lead"))
-        apart = at.join(leads, ["band", "h"]).where((F.col("root") != F.col("lead.root")) & sized(F.col("size"), F.col("lead.size")))
-        found = verified(apart.groupBy("node").agg(F.min("lead").alias("lead")).select(F.col("node").alias("a"), F.col("lead.node").alias("b")))
-        links = found if links is None else links.unionByName(found)
+        return written(central.join(roots, F.col("node") == F.col("of"), "left").select(*central.columns, F.coalesce("root", "node").alias("root")), "placed")
+
+    def led(at: DataFrame) -> DataFrame:
+        """at with its run's leader: the node that shares most bands with most others, ties by a hash."""
+        leads = at.groupBy("band", "h").agg(F.max(F.struct("degree", F.xxhash64("node").alias("rank"), "node", "root", "size")).alias("lead"))
+        return at.join(leads, ["band", "h"])
+
+    def asked(at: DataFrame) -> DataFrame:
+        apart = led(at).where((F.col("root") != F.col("lead.root")) & sized(F.col("size"), F.col("lead.size")))
+        return apart.groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+
+    central = written(members.drop("n").join(degrees, F.col("node") == F.col("of")).drop("of"), "central")
+    links = verified(proposed)
+    links = links.unionByName(verified(asked(placed(links))))
+    others = written(led(placed(links)).where("root <> lead.root").drop("lead"), "others")  # than a run's largest group
+    links = links.unionByName(verified(asked(others)))
     at = placed(links)
-    counts = at.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("band", "h").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "h", F.col("most.root").alias("most"))
-    few = at.join(most, ["band", "h"]).where("root <> most").select("band", "h", F.col("node").alias("u"), F.col("size").alias("m"), F.col("root").alias("r"))
-    rest = at.join(few, ["band", "h"]).where((F.col("root") != F.col("r")) & sized(F.col("size"), F.col("m")))
-    return links.unionByName(verified(rest.select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b"))))
+    open_runs = at.groupBy("band", "h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "h")
+    left = at.join(open_runs, ["band", "h"]).select("node", "root").distinct()
+    return links.unionByName(verified(rare_pairs(sets, left, least)))
+
+
+def rare_pairs(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of nodes (node, root) of different roots whose sets can be of similarity `least`; none of those that
+    are is left out.
+
+    A text's shingles are put in order, rarest first. Two sets of n and m shingles of which at least the share `least` of
+    all is common have at least need = least / (1 + least) * (n + m) in common. So the first common one, at places i and
+    j, has need - 1 more after it in both: n - i and m - j are at least need. Then i is below the n - least * n first
+    places. Only these are joined, on the shingle; what many texts share comes late in their order and so meets nobody.
+    """
+    spark = sets.sparkSession
+    known = written(sets.join(nodes.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("node", "root", "own"), "left")
+    at = F.pmod("s", F.lit(COUNTERS))
+    counted = known.select(F.explode("own").alias("s")).groupBy(at.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    table = np.zeros(COUNTERS, np.int64)
+    rows = counted.toPandas()  # at most COUNTERS rows
+    table[rows["c"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(table)
+
+    def ordered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = sent.value
+        for frame in frames:
+            for node, root, own in zip(frame["node"], frame["root"], frame["own"]):
+                own = np.asarray(own, np.int64)
+                n = len(own)
+                often = counts[own % COUNTERS]
+                first = np.lexsort((own, often))[: int(n - least * n + 1e-9) + 1]
+                places = np.flatnonzero(often[first] > 1)  # else no other has it
+                if len(places):
+                    yield pd.DataFrame({"s": own[first[places]], "node": node, "root": root, "n": n, "i": places})
+
+    early = written(known.mapInPandas(ordered, "s long, node long, root long, n long, i long"), "early")
+    other = early.toDF("s", "b", "r", "m", "j")
+    need = F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9
+    one = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("b")))
+    met = early.join(other.withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & one & (F.col("root") != F.col("r")) & (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need))
+    return met.select(F.col("node").alias("a"), "b")
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row for each component of texts of similarity `least` or more: that of the smallest doc_id.
 
-    The similarity is the Jaccard of the sets of shingles (simhash.shingle_hashes); texts without words are alike.
-    Every link is verified; a pair is missed if it shares no band. Equal sets are one node in all the work on links.
-    Rows of a null doc_id are kept only if their component has no other. Other columns pass.
+    The similarity is the Jaccard of the sets of shingles (simhash.shingle_hashes); texts without words are alike, null
+    ones too. Every link is verified; a pair is missed if it shares no band and its fingerprints differ by more than BITS
+    bits. Equal sets are one node in all the work on links. Rows of a null doc_id are kept only if their component has no
+    other; rows of one doc_id are told apart by their texts. Other columns pass, whatever their names; an empty table
+    gives an empty one.
     """
 
     def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text"):
-            found = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "node": [signed(x) for x in found], "size": [len(x) for x in found], "bands": [band_hashes(x) for x in found]})
-
-    own = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInPandas(told, "doc_id long, key long, node long, size long, bands array<long>")
+            rows = []
+            for doc, key, text in zip(frame["doc_id"], frame["key"], frame["text"]):
+                every = shingle_hashes(text, shingle)
+                own = np.unique(every)
+                rows.append((doc, key, signed(own), len(own), int(np.array([majority(every)], np.uint64).view(np.int64)[0]), band_hashes(own)))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "node", "size", "fp", "bands"]).astype({"doc_id": "Int64"})
+
+    own = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInPandas(told, "doc_id long, key long, node long, size long, fp long, bands array<long>")
     own = written(own, "bands")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    nodes = written(own.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    # fingerprints count repeats, sets don't: of several the smallest
+    nodes = written(own.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     roots = components(near_links(nodes, docs, shingle, least), "a", "b").withColumnRenamed("node", "of")
     rooted = nodes.select("node", "first").join(roots, F.col("node") == F.col("of"), "left").select("first", F.coalesce("root", "node").alias("root"))
     return first_rows(docs, rooted)

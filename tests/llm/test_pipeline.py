@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def slow_groups(rows):
-    prints = [[simhash.majority(simhash.mixed(simhash.shingle_hashes(r.text, 5), k)) for k in range(4)] for r in rows]
+    """Groups of documents linked by a Jaccard similarity of 0.8 or more of their sets of five-word shingles."""
+    sets = [set(simhash.shingle_hashes(r.text, 5).tolist()) for r in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -25,10 +26,8 @@ def slow_groups(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            for x in (a ^ b for a, b in zip(prints[i], prints[j])):
-                if bin(x).count("1") <= 5 and min(bin(x >> 32).count("1"), bin(x & (1 << 32) - 1).count("1")) <= 1:
-                    root[find(i)] = find(j)
-                    break
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
     groups = {}
     for i, r in enumerate(rows):
         groups.setdefault(find(i), []).append(r.doc_id)
