@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import batches, table, written
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other ASCII", "letter", "other")
-#: Bound on the languages whose references are sent to the executors (a few KB each); more is an error.
+#: Languages whose references are sent to the executors (a few KB each); of more, each row gets its own by a join.
 MAX_LANGS = 5000
 #: Common words of a language's reference.
 COMMON = 64
@@ -86,9 +85,10 @@ def lower_words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def language_references(docs: DataFrame, common: int = COMMON) -> dict[str | None, tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """Of each lang (null is one): its class histogram, the places of its most common words, and their histogram with
-    all other words last. Counted over all documents; ties between words go to the smaller one."""
+def language_references(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """(lang, classes array<long>, names array<string>, counts array<long>) of each lang with text (null is one): its class
+    histogram, its most common words, and their numbers with that of all other words last. Counted over all documents;
+    ties between words go to the smaller one."""
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -110,30 +110,23 @@ def language_references(docs: DataFrame, common: int = COMMON) -> dict[str | Non
         held.clear()
 
     counts = docs.select("lang", "text").mapInPandas(counted, "lang string, kind int, name string, n long")
-    # by salted kind of top: each part of the words keeps its own top, so a language of a third of all rows is dealt out
-    words = counts.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
-    words = written(words, "words")
-    totals = words.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("total"))
+    words = written(counts.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")), "words")
+    of = lambda i: F.coalesce(F.sum(F.when((F.col("kind") == 1) & (F.col("name") == str(i)), F.col("n"))), F.lit(0))
+    sums = words.groupBy("lang").agg(F.array(*(of(i) for i in range(len(CLASSES)))).alias("classes"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("total"))
+    # each part of the words keeps its own top, so that a language of a third of all rows is dealt out
     part = F.pmod(F.xxhash64("name"), F.lit(64))
     first = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "name")
     tops = words.where("kind = 0").withColumn("part", part).withColumn("k", F.row_number().over(first)).where(F.col("k") <= common)
     top = tops.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "name"))).where(F.col("k") <= common)
-    langs = totals.limit(MAX_LANGS + 1).collect()
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} values of lang: not a language column")
-    total = {r["lang"]: r["total"] for r in langs}
-    classes: dict = {lang: np.zeros(len(CLASSES)) for lang in total}
-    for r in words.where("kind = 1").collect():  # at most MAX_LANGS * len(CLASSES) rows
-        classes.setdefault(r["lang"], np.zeros(len(CLASSES)))[int(r["name"])] = r["n"]
-    found: dict = {lang: [] for lang in classes}
-    for r in top.select("lang", "name", "n", "k").collect():  # at most MAX_LANGS * common rows
-        found[r["lang"]].append((r["k"], r["name"], r["n"]))
-    out = {}
-    for lang, rows in found.items():
-        rows = heapq.nsmallest(common, rows)
-        n = [x[2] for x in rows]
-        out[lang] = (classes[lang], {x[1]: i for i, x in enumerate(rows)}, np.array([*n, total.get(lang, 0) - sum(n)], np.float64))
-    return out
+    listed = top.groupBy(F.col("lang").alias("l")).agg(F.sort_array(F.collect_list(F.struct("k", "name", "n"))).alias("top"))  # `common` of a lang
+    joined = sums.join(listed, F.col("lang").eqNullSafe(F.col("l")), "left")
+    known = F.coalesce(F.col("top.n"), F.array().cast("array<bigint>"))
+    rest = F.col("total") - F.aggregate(known, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return written(joined.select("lang", "classes", F.coalesce(F.col("top.name"), F.array().cast("array<string>")).alias("names"), F.concat(known, F.array(rest)).alias("counts")), "references")
+
+
+def as_reference(classes, names, counts) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
+    return np.asarray(classes, np.float64), {w: i for i, w in enumerate(names)}, np.asarray(counts, np.float64)
 
 
 def divergence(text: str, reference: tuple) -> tuple[int, float, float]:
@@ -156,25 +149,75 @@ def quality_rules(docs: DataFrame, *, common: int = COMMON, max_class: float = 0
     language of its own. A null or empty text has counts 0, distances 0, and fails the base rules. Ties and repeated
     rows are judged alike; other columns are not read; an empty table gives an empty one.
     """
-    references = docs.sparkSession.sparkContext.broadcast(language_references(docs, common))  # at most MAX_LANGS entries
+    references = language_references(docs, common)
+    few = references.count() <= MAX_LANGS
+    own = docs.select("doc_id", "lang", "text")
+    if few:
+        sent = docs.sparkSession.sparkContext.broadcast({r["lang"]: as_reference(r["classes"], r["names"], r["counts"]) for r in references.collect()})
+    else:
+        own = own.join(references.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
 
     def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = references.value
+        known = sent.value if few else None
         for frame in batches(frames, "text"):
             rows = []
-            for lang, text in zip(frame["lang"], frame["text"]):
+            for i, (lang, text) in enumerate(zip(frame["lang"], frame["text"])):
                 counts = base_counts(text)
                 failed, chars, a, b = base_failed(counts[0], counts[4]), 0, 0.0, 0.0
                 if text:
-                    chars, a, b = divergence(text, known[lang if isinstance(lang, str) else None])
+                    reference = known[lang if isinstance(lang, str) else None] if few else as_reference(*(frame[c].iloc[i] for c in ("classes", "names", "counts")))
+                    chars, a, b = divergence(text, reference)
                 far = chars >= least_chars and a > max_class or counts[0] >= least_words and b > max_words
                 rows.append((*counts, failed, a, b, not failed and not far))
             out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"])
             yield out.assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", *out.columns]]
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "lang", "text").mapInPandas(judged, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    return own.mapInPandas(judged, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    """The distances are rounded to six places, which SQL's sums in another order share; the verdict is not."""
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+#: The same rules: characters and words as rows, their histograms joined to those of the language.
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+base AS (
+  SELECT r, doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+         length(text) AS chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+thirds AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS n FROM thirds) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) x(k) GROUP BY r),
+letters AS (SELECT r, lang, unnest(regexp_extract_all(text, '(?s).')) AS c FROM d),
+classed AS (
+  SELECT r, lang, CASE WHEN unicode(c) >= 65536 THEN 8 WHEN unicode(c) >= 128 THEN CASE WHEN regexp_matches(c, '\p{L}') THEN 7 ELSE 8 END
+    WHEN regexp_matches(c, '[a-z]') THEN 0 WHEN regexp_matches(c, '[A-Z]') THEN 1 WHEN regexp_matches(c, '[0-9]') THEN 2
+    WHEN regexp_matches(c, '[\x20\x09-\x0D\x1C-\x1F]') THEN 3 WHEN regexp_matches(c, '[.,;:!?''"()\-]') THEN 4 WHEN regexp_matches(c, '[#*$%&|<>]') THEN 5 ELSE 6 END AS k, count(*) AS n
+  FROM letters GROUP BY ALL),
+heard AS (SELECT r, lang, x, count(*) AS n FROM (SELECT r, lang, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS x FROM d) GROUP BY ALL),
+top AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, x) AS k FROM heard GROUP BY lang, x QUALIFY k <= 64),
+placed AS (SELECT h.r, h.lang, coalesce(k, 0) AS k, sum(n) AS n FROM heard h LEFT JOIN top t ON h.lang IS NOT DISTINCT FROM t.lang AND h.x = t.x GROUP BY ALL),
+every AS (SELECT 'c' AS what, r, lang, k, n FROM classed UNION ALL SELECT 'w', r, lang, k, n FROM placed),
+reference AS (SELECT what, lang, k, n / sum(n) OVER (PARTITION BY what, lang) AS q FROM (SELECT what, lang, k, sum(n) AS n FROM every GROUP BY ALL)),
+own AS (SELECT what, r, lang, k, n / sum(n) OVER (PARTITION BY what, r) AS p FROM every),
+texts AS (SELECT DISTINCT what, r, lang FROM own),
+paired AS (
+  SELECT t.what, t.r, coalesce(p, 0) AS p, q FROM texts t JOIN reference f ON t.what = f.what AND t.lang IS NOT DISTINCT FROM f.lang
+  LEFT JOIN own o ON o.what = t.what AND o.r = t.r AND o.k = f.k),
+far AS (
+  SELECT what, r, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS js
+  FROM paired GROUP BY what, r),
+judged AS (
+  SELECT b.*, coalesce(x.n, 0) AS n_repeat, coalesce(c.js, 0) AS a, coalesce(v.js, 0) AS z
+  FROM base b LEFT JOIN repeats x USING (r) LEFT JOIN far c ON c.r = b.r AND c.what = 'c' LEFT JOIN far v ON v.r = b.r AND v.what = 'w')
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat > 50 * n_words AS base_failed, round(a, 6) AS class_distance, round(z, 6) AS word_distance,
+       NOT (n_words < 50 OR 100 * n_repeat > 50 * n_words) AND NOT (chars >= 200 AND a > 0.30 OR n_words >= 100 AND z > 0.42) AS kept
+FROM judged
+"""
