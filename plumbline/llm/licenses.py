@@ -122,8 +122,9 @@ def directory(path):
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan_licenses(files: DataFrame, *, threshold: float = 0.6, file_share: float = 0.5) -> DataFrame:
-    """Per row of files (path, text): path, own_license, own_score, is_license_file, license, origin, from_dir.
+def scan_licenses(files: DataFrame, *keep: str, threshold: float = 0.6, file_share: float = 0.5) -> DataFrame:
+    """Per row of files (path, text): the columns `keep`, path, own_license, own_score, is_license_file, license, origin,
+    from_dir.
 
     A text's own licence is the template that a stretch of it is most like, from a cosine of `threshold` on; whole texts
     are searched. A file is a licence file if it has an own licence and the name of one, or if the stretch is
@@ -141,11 +142,13 @@ def scan_licenses(files: DataFrame, *, threshold: float = 0.6, file_share: float
         for frame in batches(frames, "text"):
             found = [scanner.scan(t) for t in frame["text"]]
             rows = [(n if s >= threshold else None, s if s >= threshold else 0.0, bool(s >= threshold and (share >= file_share or (p and _file.search(p))))) for p, (n, s, share) in zip(frame["path"], found)]
-            out = pd.DataFrame(rows, columns=["own_license", "own_score", "is_license_file"])
-            out.insert(0, "path", frame["path"].to_numpy())
-            yield out
+            out = pd.DataFrame(rows, columns=["own_license", "own_score", "is_license_file"], index=frame.index)
+            yield pd.concat([frame[[*held, "path"]], out], axis=1)
 
-    own = written(files.select("path", "text").mapInPandas(scanned, "path string, own_license string, own_score double, is_license_file boolean").withColumn("dir", directory(F.col("path"))), "licenses")
+    held, kinds = [f"__k{i}" for i in range(len(keep))], dict(files.dtypes)
+    thin = files.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, held)), "path", "text")
+    schema = ", ".join([*(f"{k} {kinds[c]}" for c, k in zip(keep, held)), "path string, own_license string, own_score double, is_license_file boolean"])
+    own = written(thin.mapInPandas(scanned, schema).withColumn("dir", directory(F.col("path"))), "licenses")
     declared = own.where("is_license_file and dir is not null").groupBy(F.col("dir").alias("at")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("license"))).alias("best")).select("at", F.col("best.license").alias("license"))
     parts = F.split("dir", "/")
     above = F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("at")))).otherwise(
@@ -156,14 +159,16 @@ def scan_licenses(files: DataFrame, *, threshold: float = 0.6, file_share: float
     joined = own.join(nearest, F.col("dir") == F.col("of"), "left")
     mine = F.col("own_license").isNotNull()
     return joined.select(
-        "path", "own_license", "own_score", "is_license_file", F.coalesce("own_license", "up.license").alias("license"),
+        *(F.col(k).alias(c) for c, k in zip(keep, held)), "path", "own_license", "own_score", "is_license_file", F.coalesce("own_license", "up.license").alias("license"),
         F.when(mine, "own").when(F.col("up.license").isNotNull(), "inherited").alias("origin"), F.when(~mine, F.col("up.at")).alias("from_dir"),
     )
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/(doc_id div 50)/doc_id.txt."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 50).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    found = scan_licenses(docs.select(path.alias("path"), "text"))
-    return found.withColumn("doc_id", F.regexp_extract("path", r"([0-9-]+)\.txt$", 1).cast("long"))
+    """Documents as files source/lang/(doc_id div 50)/doc_id.txt. Every seventh is named as a licence file instead, of its
+    source's directory or, an odd one, of its lang's; a null part of a path is called none."""
+    docs, part = table(spark, sf_dir, "documents"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    i = F.col("doc_id")
+    inner = F.concat_ws("/", part("source"), part("lang"), F.coalesce(F.floor(i / 50).cast("string"), F.lit("none")), F.concat(part("doc_id"), F.lit(".txt")))
+    above = F.concat_ws("/", part("source"), F.when(i % 2 != 0, part("lang")), F.concat(F.lit("LICENSE-"), part("doc_id")))
+    return scan_licenses(docs.select("doc_id", "text", F.when(i % 7 == 0, above).otherwise(inner).alias("path")), "doc_id")
