@@ -83,7 +83,7 @@ sizes AS (SELECT g, any_value(w) AS w, CAST(sum(length(text)) AS DOUBLE) AS size
 rates AS (
   SELECT g, (SELECT sum(size) FROM sizes) * w / (SELECT sum(w) FROM sizes WHERE size > 0) / size AS rate
   FROM sizes WHERE size > 0),
-pmf AS (SELECT g, k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p FROM rates, range(0, 200) t(k) WHERE rate > 0),
+pmf AS (SELECT g, k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p FROM (SELECT g, rate, unnest(range(0, CAST(rate + 40 * sqrt(rate) + 62 AS BIGINT))) AS k FROM rates WHERE rate > 0)),
 cdf AS (SELECT g, k, sum(p) OVER (PARTITION BY g ORDER BY k) AS c, p FROM pmf),
 drawn AS (
   SELECT doc_id, source, text, g,
