@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import placed
+
 BUDGETS = (12_000, 40_000)
 
 
@@ -15,13 +17,14 @@ def import_lists(edges: DataFrame) -> DataFrame:
 
 def within_budget(entries: DataFrame, budget: int, *, key: str = "id", size: str = "size") -> DataFrame:
     """entries with running (characters up to here, shortest first, ties by key) and kept, whether running is within the
-    budget: what is cut is the longest. Sizes are counted first, so the running sum goes over sizes, not entries."""
+    budget: what is cut is the longest. Sizes are counted first, so that the sum over all shorter ones goes over sizes;
+    places among entries of one size are those of the global order, so that a common size is no task's alone."""
     counts = entries.groupBy(size).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(size, "__s")
-    before = counts.withColumn("__before", F.coalesce(F.sum(F.col("__n") * F.col("__s")).over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = entries.join(before.select("__s", "__before"), F.col(size) == F.col("__s"))
-    place = F.row_number().over(Window.partitionBy(size).orderBy(key))
-    running = F.col("__before") + place * F.col(size)
-    return rows.withColumn("running", running).withColumn("kept", F.col("running") <= budget).drop("__s", "__before")
+    before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # over distinct sizes
+    sums = counts.select("__s", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(c) for x, c in ((F.col("__n"), "__less"), (F.col("__n") * F.col("__s"), "__before"))))
+    rows = placed(entries, size, key, name="__place").join(sums, F.col(size) == F.col("__s"))
+    running = F.col("__before") + (F.col("__place") - F.col("__less")) * F.col(size)
+    return rows.withColumn("running", running).withColumn("kept", F.col("running") <= budget).drop("__s", "__less", "__before", "__place")
 
 
 def ladder(modules: DataFrame, ports: DataFrame, edges: DataFrame, budget: int = BUDGETS[0]) -> tuple[int, DataFrame]:

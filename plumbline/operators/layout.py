@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .order import placed
 
 WIDTH, HEIGHT, GAP = 160, 60, 40
 
@@ -21,8 +22,9 @@ def collisions(ids: DataFrame) -> DataFrame:
 
 
 def grid(ids: DataFrame, columns: int, group: str | None = None) -> DataFrame:
-    """ids with x and y on a grid of so many columns, in order of id, each group on a grid of its own. Without a group
-    all ids are numbered in one order: a drawing's nodes, not a corpus."""
-    window = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    place = F.row_number().over(window.orderBy("id")) - 1
-    return ids.withColumn("__k", place).withColumns({"x": F.pmod("__k", F.lit(columns)) * (WIDTH + GAP), "y": F.floor(F.col("__k") / columns) * (HEIGHT + GAP)}).drop("__k")
+    """ids with x and y on a grid of so many columns, in order of id, each group on a grid of its own."""
+    if group:
+        numbered = ids.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy("id")) - 1)
+    else:
+        numbered = placed(ids, "id", name="__k").withColumn("__k", F.col("__k") - 1)
+    return numbered.withColumns({"x": F.pmod("__k", F.lit(columns)) * (WIDTH + GAP), "y": F.floor(F.col("__k") / columns) * (HEIGHT + GAP)}).drop("__k")

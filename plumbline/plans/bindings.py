@@ -29,39 +29,36 @@ commerce AS (
   JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 
 
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pair edges between nations, customer's -> supplier's, over all line items: those with more than 1.8 times the mean
-    number of lines of a pair of nations. kinds are the return flags."""
-    t = lambda n: table(spark, sf_dir, n)
-    rows = t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    name = lambda x: t("nation").select(F.col("n_nationkey").alias(f"k_{x}"), F.col("n_name").alias(x))
-    sums = rows.groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("l_returnflag")).alias("kinds"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # of at most the square of the nations' number
-    strong = sums.withColumn("total", total).where("n * 6250 > 18 * total and c_nationkey <> s_nationkey")
-    return strong.join(name("source"), F.col("c_nationkey") == F.col("k_source")).join(name("target"), F.col("s_nationkey") == F.col("k_target")).select("source", "target", "kinds", F.col("n").alias("n_raw"))
-
-
-TRADE = """
-sums AS (
-  SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS kinds
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  GROUP BY ALL),
-trade AS (
-  SELECT x.n_name AS source, y.n_name AS target, kinds, n AS n_raw
-  FROM sums JOIN nation x ON a = x.n_nationkey JOIN nation y ON b = y.n_nationkey
-  WHERE n * 6250 > 18 * (SELECT sum(n) FROM sums) AND a <> b)"""
+def referrals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair edges between customers: of each, his dearest order (the later of equal ones) refers to the customer whose
+    place is the order's number, counted around. kinds is the order's status; n_raw the number of his orders."""
+    customers = table(spark, sf_dir, "customer").count()
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_totalprice", "o_orderkey", "o_orderstatus")).alias("o"), F.count(F.lit(1)).alias("n_raw"))
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    return last.select(name(F.col("o_custkey")).alias("source"), name(F.col("o.o_orderkey") % F.lit(max(customers, 1))).alias("target"), F.array("o.o_orderstatus").alias("kinds"), "n_raw")
+
+
+REFERRALS = """
+dear AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n_raw FROM orders),
+refers AS (SELECT 'c' || o_custkey AS source, 'c' || o_orderkey % (SELECT count(*) FROM customer) AS target, o_orderstatus AS kinds, n_raw FROM dear WHERE nth = 1),
+people AS (SELECT 'c' || c_custkey AS id, c_mktsegment = 'BUILDING' AS far FROM customer)"""
 
 #: Every node that a node reaches.
 REACH = """
 reach AS (
-  SELECT source AS a, target AS b FROM trade
-  UNION SELECT r.a, t.target FROM reach r JOIN trade t ON r.b = t.source),
+  SELECT source AS a, target AS b FROM refers
+  UNION SELECT r.a, t.target FROM reach r JOIN refers t ON r.b = t.source),
 members AS (
   SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a
   WHERE x.a <> x.b GROUP BY x.a)"""
 
 
+def people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as nodes, and those of one market segment, which count as external where a query says so."""
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_mktsegment") == "BUILDING").alias("far"))
+    return rows.select("id", "far"), rows.where("far").select("id")
+
+
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").cast("string").alias("group_id"))
 

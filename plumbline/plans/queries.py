@@ -8,25 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.names import NOISE
 from ..operators import digest, findings, graph, grouping, layout, resolve
+from ..sources.store import settled
 from . import bindings as b
+from . import corpus_queries  # noqa: F401  registers its own
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .scan import scan_files
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query under a name with its SQL."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return put
-
-
 def text(array):
     return F.array_join(array, ",")
 
@@ -136,14 +123,12 @@ def pair_edges(spark, sf_dir):
 
 
 @query("a13_degrees", f"""
-WITH {b.TRADE}
-SELECT n_name AS id, (SELECT count(*) FROM trade WHERE target = n_name) AS fan_in,
-       (SELECT count(*) FROM trade WHERE source = n_name) AS fan_out,
-       (SELECT count(*) FROM trade JOIN nation t ON target = t.n_name WHERE source = n.n_name AND t.n_regionkey = 0) AS n_external
-FROM nation n""")
+WITH {b.REFERRALS}, inward AS (SELECT target, count(*) AS n FROM refers WHERE source <> target GROUP BY target),
+outward AS (SELECT source, count(*) AS n, count(*) FILTER (far) AS x FROM refers JOIN people ON target = id WHERE source <> target GROUP BY source)
+SELECT id, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, coalesce(o.x, 0) AS n_external FROM people LEFT JOIN inward i ON i.target = id LEFT JOIN outward o ON o.source = id""")
 def degrees(spark, sf_dir):
-    nodes = b.nations(spark, sf_dir)
-    return graph.degrees(nodes, b.trade(spark, sf_dir), nodes.where("group_id = '0'"))
+    nodes, far = b.people(spark, sf_dir)
+    return graph.degrees(nodes, b.referrals(spark, sf_dir), far)
 
 
 @query("p9_dangling", f"WITH {b.COMMERCE} SELECT source, target, targetPort, kind, line, seq FROM commerce WHERE target IN (SELECT s_name FROM supplier WHERE s_acctbal > 0)")
@@ -181,78 +166,86 @@ def depth_scores(spark, sf_dir):
     return out.withColumns({"ratio": F.round("ratio", 6), "light": findings.traffic_light(F.col("depth"))})
 
 
-@query("g1_components", f"WITH RECURSIVE {b.TRADE}, {b.REACH} SELECT component, id FROM members")
+@query("g1_components", f"WITH RECURSIVE {b.REFERRALS}, {b.REACH} SELECT component, id FROM members")
 def components(spark, sf_dir):
-    return findings.strong_components(b.trade(spark, sf_dir))
+    return findings.strong_components(b.referrals(spark, sf_dir))
+
+
+@query("g1_components_in_rounds", f"WITH RECURSIVE {b.REFERRALS}, {b.REACH} SELECT component, id FROM members")
+def components_in_rounds(spark, sf_dir):
+    """The way of graphs too large for one task."""
+    return findings.strong_components(b.referrals(spark, sf_dir), small=0)
 
 
 @query("g2_cycles", f"""
-WITH RECURSIVE {b.TRADE}, {b.REACH}
+WITH RECURSIVE {b.REFERRALS}, {b.REACH}
 SELECT s.component, string_agg(DISTINCT s.id, ',' ORDER BY s.id) AS members,
-       (SELECT string_agg(source || '->' || target, ',' ORDER BY source || '->' || target) FROM trade JOIN members x ON source = x.id JOIN members y ON target = y.id WHERE x.component = y.component AND x.component = s.component) AS evidence
+       (SELECT string_agg(source || '->' || target, ',' ORDER BY source || '->' || target) FROM refers JOIN members x ON source = x.id JOIN members y ON target = y.id WHERE x.component = y.component AND x.component = s.component AND source <> target) AS evidence
 FROM members s GROUP BY s.component""")
 def cycles(spark, sf_dir):
-    pairs = b.trade(spark, sf_dir)
+    pairs = b.referrals(spark, sf_dir)
     return findings.cycle_findings(pairs, findings.strong_components(pairs)).select("component", text("members").alias("members"), text("evidence").alias("evidence"))
 
 
 TRIAGE = """
-inland AS (SELECT n_name AS id FROM nation WHERE n_regionkey <> 0),
-own AS (SELECT source, target FROM trade WHERE source IN (FROM inland) AND target IN (FROM inland)),
+own AS (SELECT source, target FROM refers JOIN people x ON source = x.id JOIN people y ON target = y.id WHERE NOT x.far AND NOT y.far AND source <> target),
 triage AS (
   SELECT id, CASE WHEN id IN (SELECT source FROM own UNION SELECT target FROM own) THEN 'normal'
-                  WHEN id IN (SELECT source FROM trade JOIN nation ON target = n_name WHERE n_regionkey = 0) THEN 'third_party_only' ELSE 'isolated' END AS triage FROM inland)"""
+                  WHEN id IN (SELECT source FROM refers JOIN people y ON target = y.id WHERE y.far) THEN 'third_party_only' ELSE 'isolated' END AS triage FROM people WHERE NOT far)"""
 
 
-@query("g3_orphan_triage", f"WITH {b.TRADE}, {TRIAGE} SELECT id, triage FROM triage")
+@query("g3_orphan_triage", f"WITH {b.REFERRALS}, {TRIAGE} SELECT id, triage FROM triage")
 def triage(spark, sf_dir):
-    nodes = b.nations(spark, sf_dir)
-    return findings.orphan_triage(nodes.where("group_id <> '0'"), b.trade(spark, sf_dir), nodes.where("group_id = '0'"))
+    nodes, far = b.people(spark, sf_dir)
+    return findings.orphan_triage(nodes.where("not far"), b.referrals(spark, sf_dir), far)
 
 
 @query("g4_findings", f"""
-WITH RECURSIVE {b.TRADE.replace("trade AS", "every AS")}, inl AS (SELECT n_name AS id FROM nation WHERE n_regionkey <> 0),
-trade AS (SELECT * FROM every WHERE source IN (FROM inl) AND target IN (FROM inl)), {b.REACH},
-orphan AS (SELECT id, CASE WHEN id IN (SELECT source FROM every JOIN nation ON target = n_name WHERE n_regionkey = 0) THEN 'third_party_only' ELSE 'isolated' END AS code
-           FROM inl WHERE id NOT IN (SELECT source FROM trade UNION SELECT target FROM trade))
+WITH RECURSIVE {b.REFERRALS.replace("refers AS", "every AS")}, refers AS (SELECT e.* FROM every e JOIN people x ON source = x.id JOIN people y ON target = y.id WHERE NOT x.far AND NOT y.far), {b.REACH},
+orphan AS (SELECT id, CASE WHEN id IN (SELECT source FROM every JOIN people y ON target = y.id WHERE y.far) THEN 'third_party_only' ELSE 'isolated' END AS code
+           FROM people WHERE NOT far AND id NOT IN (SELECT source FROM refers WHERE source <> target UNION SELECT target FROM refers WHERE source <> target))
 SELECT 'cycle' AS code, 'error' AS severity, string_agg(id, ', ' ORDER BY id) AS subject FROM members GROUP BY component
 UNION ALL SELECT code, 'warning', id FROM orphan""")
 def all_findings(spark, sf_dir):
-    nodes = b.nations(spark, sf_dir)
-    return findings.findings(nodes.where("group_id <> '0'"), b.trade(spark, sf_dir), nodes.where("group_id = '0'")).select("code", "severity", "subject")
+    nodes, far = b.people(spark, sf_dir)
+    return findings.findings(nodes.where("not far"), b.referrals(spark, sf_dir), far).select("code", "severity", "subject")
 
 
-@query("a17_finding_counts", f"WITH {b.TRADE}, {TRIAGE} SELECT triage AS code, count(*) AS n FROM triage GROUP BY triage")
+@query("a17_finding_counts", f"WITH {b.REFERRALS}, {TRIAGE} SELECT triage AS code, count(*) AS n FROM triage GROUP BY triage")
 def counts(spark, sf_dir):
     return findings.finding_counts(triage(spark, sf_dir).withColumnRenamed("triage", "code"))
 
 
+#: Every order proposes the edge of its own number, and every third the opposite one.
 CHECKED = """
-ask AS (SELECT DISTINCT x.n_name AS source, y.n_name AS target FROM customer JOIN nation x ON c_nationkey = x.n_nationkey JOIN nation y ON y.n_nationkey = c_custkey % 25)"""
+orders_of AS (SELECT o_orderkey AS o, 'c' || o_custkey AS a, 'c' || o_orderkey % (SELECT count(*) FROM customer) AS b FROM orders),
+ask AS (SELECT a AS source, b AS target FROM orders_of UNION SELECT b, a FROM orders_of WHERE o % 3 = 0)"""
 
 
 def _proposed(spark, sf_dir):
-    name = lambda x: b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(f"k_{x}"), F.col("n_name").alias(x))
-    rows = b.table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") % 25).alias("to"))
-    return rows.join(name("source"), F.col("c_nationkey") == F.col("k_source")).join(name("target"), F.col("to") == F.col("k_target")).select("source", "target")
+    n = b.table(spark, sf_dir, "customer").count()
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    rows = b.table(spark, sf_dir, "orders").select("o_orderkey", name(F.col("o_custkey")).alias("source"), name(F.col("o_orderkey") % F.lit(max(n, 1))).alias("target"))
+    back = rows.where("o_orderkey % 3 = 0").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return rows.select("source", "target").unionByName(back)
 
 
 @query("g6_check_edges", f"""
-WITH {b.TRADE}, {CHECKED},
+WITH {b.REFERRALS}, {CHECKED},
 c AS (
-  SELECT a.source, a.target, CASE WHEN a.source = a.target OR a.source IN (SELECT n_name FROM nation WHERE n_regionkey = 0) THEN 'blocked'
+  SELECT a.source, a.target, CASE WHEN a.source = a.target OR p.far THEN 'blocked'
          WHEN f.source IS NOT NULL THEN 'real' WHEN r.source IS NOT NULL THEN 'reversed' ELSE 'none' END AS code, f.kinds AS fk, r.kinds AS rk
-  FROM ask a LEFT JOIN trade f ON f.source = a.source AND f.target = a.target LEFT JOIN trade r ON r.source = a.target AND r.target = a.source)
+  FROM ask a JOIN people p ON p.id = a.source LEFT JOIN refers f ON f.source = a.source AND f.target = a.target LEFT JOIN refers r ON r.source = a.target AND r.target = a.source)
 SELECT source, target, code = 'real' AS ok, code, CASE code WHEN 'real' THEN 'info' WHEN 'reversed' THEN 'warning' ELSE 'error' END AS severity,
        CASE code WHEN 'real' THEN fk WHEN 'reversed' THEN rk END AS evidence, CASE code WHEN 'real' THEN '' WHEN 'reversed' THEN 'swap,remove' ELSE 'remove' END AS fixes FROM c""")
 def check_edges(spark, sf_dir):
-    out = graph.check_edges(_proposed(spark, sf_dir), b.trade(spark, sf_dir), b.nations(spark, sf_dir).where("group_id = '0'"))
+    out = graph.check_edges(_proposed(spark, sf_dir), b.referrals(spark, sf_dir), b.people(spark, sf_dir)[1])
     return out.withColumns({"evidence": text("evidence"), "fixes": text("fixes")})
 
 
-@query("g7_real_only", f"WITH {b.TRADE}, {CHECKED} SELECT source, target FROM ask WHERE (source, target) IN (SELECT source, target FROM trade)")
+@query("g7_real_only", f"WITH {b.REFERRALS}, {CHECKED} SELECT source, target FROM ask WHERE (source, target) IN (SELECT source, target FROM refers)")
 def real_only(spark, sf_dir):
-    return graph.real_only(_proposed(spark, sf_dir), b.trade(spark, sf_dir))
+    return graph.real_only(_proposed(spark, sf_dir), b.referrals(spark, sf_dir))
 
 
 @query("g8_quotient", """
@@ -284,11 +277,11 @@ def facades(spark, sf_dir):
 
 
 @query("a19_collapse_external", f"""
-WITH {b.TRADE}
-SELECT source, CASE WHEN n_regionkey = 0 THEN 'third-party' ELSE target END AS target, coalesce(string_agg(DISTINCT CASE WHEN n_regionkey = 0 THEN target END, ',' ORDER BY CASE WHEN n_regionkey = 0 THEN target END), '') AS members
-FROM trade JOIN nation ON target = n_name GROUP BY source, CASE WHEN n_regionkey = 0 THEN 'third-party' ELSE target END""")
+WITH {b.REFERRALS}
+SELECT source, CASE WHEN far THEN 'third-party' ELSE target END AS target, coalesce(string_agg(DISTINCT CASE WHEN far THEN target END, ',' ORDER BY CASE WHEN far THEN target END), '') AS members
+FROM refers JOIN people ON target = id GROUP BY source, CASE WHEN far THEN 'third-party' ELSE target END""")
 def collapse(spark, sf_dir):
-    return graph.collapse_external(b.trade(spark, sf_dir), b.nations(spark, sf_dir).where("group_id = '0'")).withColumn("members", text("members"))
+    return graph.collapse_external(b.referrals(spark, sf_dir), b.people(spark, sf_dir)[1]).withColumn("members", text("members"))
 
 
 GROUPED = """
@@ -452,8 +445,37 @@ def scan_calls(spark, sf_dir):
     return scan_files(b.sources(spark, sf_dir)).calls
 
 
-@query("x9_digest")
-def ladder(spark, sf_dir):
+PORT = """'{"kind":"' || kind || '","name":"' || name || '"' """
+LADDER = f"""
+WITH {b.RENDERED},
+p AS (
+  SELECT m AS id, 'function' AS kind, 'public_' || k AS name, 6 AS line, '(a, b=1, *, c)' AS signature, '["a","b","c"]' AS params, '' AS doc FROM good
+  UNION ALL SELECT m, 'class', 'Nation_' || k, 12, 'Nation_' || k || '(Region_' || r || ')', '[]', '' FROM good
+  UNION ALL SELECT 'regions/r' || r_regionkey || '.py', 'class', 'Region_' || r_regionkey, 2, 'Region_' || r_regionkey, '[]', ',"docstring":"A region."' FROM region
+  UNION ALL SELECT 'regions/r' || r_regionkey || '.py', 'function', 'helper', 5, '(x, y=2)', '["x","y"]', '' FROM region),
+forms AS (
+  SELECT id, line, name, {PORT} || ',"line":' || line || ',"signature":"' || signature || '","params":' || params || doc || '}}' AS f0,
+         {PORT} || ',"line":' || line || ',"signature":"' || signature || '","params":' || params || '}}' AS f1, {PORT} || ',"line":' || line || ',"signature":"' || signature || '"}}' AS f2, {PORT} || '}}' AS f3 FROM p),
+heads AS (
+  SELECT m AS id, '{{"id":"' || m || '","imports":["acme_' || r || '.tools","json.decoder","regions/r' || r || '.py"],"ports":[' AS head FROM good
+  UNION ALL SELECT 'regions/r' || r_regionkey || '.py', '{{"id":"regions/r' || r_regionkey || '.py","imports":[],"ports":[' FROM region),
+bodies AS (
+  SELECT id, head || string_agg(f0, ',' ORDER BY line, name) || ']}}' AS b0, head || string_agg(f1, ',' ORDER BY line, name) || ']}}' AS b1,
+         head || string_agg(f2, ',' ORDER BY line, name) || ']}}' AS b2, head || string_agg(f3, ',' ORDER BY line, name) || ']}}' AS b3
+  FROM forms JOIN heads USING (id) GROUP BY id, head),
+fits AS (SELECT CASE WHEN sum(length(b0)) <= BUDGET THEN 0 WHEN sum(length(b1)) <= BUDGET THEN 1 WHEN sum(length(b2)) <= BUDGET THEN 2 ELSE 3 END AS level FROM bodies)
+SELECT id, CASE level WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END AS body, level FROM bodies, fits
+"""
+
+
+def _ladder(spark, sf_dir, budget):
     found = scan_files(b.sources(spark, sf_dir))
-    level, out = digest.ladder(found.modules, found.ports, found.edges, 6000)
-    return out.withColumn("level", F.lit(level))
+    try:
+        level, out = digest.ladder(found.modules, found.ports, found.edges, budget)
+        return settled(out.withColumn("level", F.lit(level)))
+    finally:
+        found.release()
+
+
+for _level, _budget in enumerate((12_000, 8_380, 7_800, 5_400)):
+    query(f"x9_digest_{_level}", LADDER.replace("BUDGET", str(_budget)))(lambda spark, sf_dir, n=_budget: _ladder(spark, sf_dir, n))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,22 @@ def append_log(events: DataFrame, folder: str, run_id: str, role: str) -> None:
 def report(status: str, sections: dict[str, DataFrame]) -> dict:
     """A report document: a status, and for each section (coverage, quality, warnings) its rows, as small as findings are."""
     return {"status": status} | {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in sections.items()}
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes a file for each row of files (module_id, content binary) below folder (a URI); returns how many. The
+    executors write through Arrow's file systems; a file written again by a repeated task is the same."""
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            for module, content in zip(frame["module_id"], frame["content"]):
+                path = f"{root}/{module}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(path, compression=None) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return files.select("module_id", "content").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
