@@ -194,6 +194,8 @@ def identify(docs: DataFrame, net: Network, *, lang: str = "lang_pred", score: s
         a, b = predict(own, tables, held)
         return pd.DataFrame({"lang": names + a, "score": [*scores, *b]}).astype({"score": float})
 
+    # else a filter on the result would be pushed below it and work it out a second time
+    told = told.asNondeterministic()
     return with_new(docs.withColumn("__told", told("text")), {lang: F.col("__told.lang"), score: F.col("__told.score")}).drop("__told")
 
 
