@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def release() -> None:
+    """Gives back what Arrow's allocator keeps of batches that are gone: a Python worker else holds the most that it ever
+    had, through the stages that follow."""
+    pa.default_memory_pool().release_unused()
+
+
 def batches(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
     """The same rows in frames of at most TEXT_ROWS rows and about TEXT_BYTES of text, at least a row each."""
     for frame in frames:
@@ -91,6 +98,7 @@ def batches(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
             held += n
         if len(frame) > start:
             yield frame.iloc[start:]
+        release()
 
 
 def with_new(df: DataFrame, columns: dict) -> DataFrame:

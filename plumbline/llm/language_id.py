@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_BYTES, table, with_new
+from .common import TEXT_BYTES, release, table, with_new
 
 WIDTHS, FILTERS, DIM, WINDOW = (2, 3, 4), 16, 8, 256
 TAPS = max(WIDTHS)
@@ -192,6 +192,7 @@ def identify(docs: DataFrame, net: Network, *, lang: str = "lang_pred", score: s
                 a, b = predict(own, tables, held)
                 names, scores, held, size = names + a, [*scores, *b], [], 0
         a, b = predict(own, tables, held)
+        release()
         return pd.DataFrame({"lang": names + a, "score": [*scores, *b]}).astype({"score": float})
 
     # else a filter on the result would be pushed below it and work it out a second time

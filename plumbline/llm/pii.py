@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, least_threshold
-from .common import batches, table
+from .common import batches, release, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A kind that only candidates have, none of them base: keys, tokens, passwords.
@@ -332,6 +332,7 @@ def redact_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         own = sent.value
+        release()
         return pd.Series([redacted(t, [s for part in all_spans(t, own) for s in part]) if isinstance(t, str) else None for t in texts], dtype=object)
 
     out = docs.withColumn("text", clean("text"))
