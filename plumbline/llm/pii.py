@@ -75,7 +75,7 @@ GENERATORS = (
     ("card", _digit, re.compile(r"(?<![0-9])(?=([0-9]{4}(?:[ ./_-]?[0-9]{2,6}){2,5}(?![0-9])))")),
     ("phone", _digit, re.compile(r"(?<![0-9])(?=((?:(?:00|\+)[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,3}(?![0-9])))")),
     (SECRET, re.compile("[:=]|bearer", re.I), re.compile(rf"(?:{_named}[\w\" ']{{0,12}}[:=][ \"']{{0,3}}|\bbearer )([A-Za-z0-9][\w+/=.-]{{7,127}})(?![\w+/=-])", re.I)),
-    (SECRET, re.compile(r"[A-Za-z0-9_]{20}"), re.compile(r"(?<![\w+/-])(?=([A-Za-z0-9][\w+/=-]{19,127})(?![\w+/=-]))")),
+    (SECRET, re.compile(r"[A-Za-z0-9_]{20}"), re.compile(r"(?<![\w+/-])(?=[A-Za-z+/=_-]{0,127}[0-9])(?=[0-9+/=_-]{0,127}[A-Za-z])(?=([A-Za-z0-9][\w+/=-]{19,127})(?![\w+/=-]))")),
 )
 #: Generators whose shorter spans count too: a number that follows is else taken for a part of the first one. A span
 #: ends with a run of digits and has at most LONGEST characters.
@@ -87,7 +87,6 @@ LONGEST = 48
 #: Candidates that are judged at once.
 JUDGED = 4000
 _run = re.compile("[0-9]+")
-_mixed = re.compile(r"[A-Za-z][\w+/=.-]*[0-9]|[0-9][\w+/=.-]*[A-Za-z]")
 _touched, _touching = re.compile(r"[0-9+)][ ]?$"), re.compile(r"[ ]?[0-9(]")
 #: Words of the context that speak for or against a kind.
 CUES = (
@@ -107,8 +106,7 @@ def proposed(text: str) -> Iterator[Span]:
     for kind, hint, pattern in GENERATORS:
         if hint.search(text):
             for m in pattern.finditer(text):
-                if kind != SECRET or _mixed.search(m[1]):
-                    yield from ((kind, m.start(1), end) for end in ends(text, kind, m))
+                yield from ((kind, m.start(1), end) for end in ends(text, kind, m))
 
 
 def candidates(text: str) -> list[Span]:
@@ -202,8 +200,9 @@ def labelled_examples(n: int, seed: int = 5) -> tuple[list[str], list[Span], lis
             labels.append(y)
 
     def secret(yes: bool) -> None:
-        body = r.choice((good if yes else bad)[SECRET])()
-        hint = f"{r.choice(names)}{r.choice([' = ', '=', ': ', ' = '])}{r.choice(['', chr(34), chr(39)])}" if yes else r.choice(["commit ", "sha1 ", "md5: ", "checksum ", "the ", "file ", "version ", "id ", "uuid ", "", "and ", "branch ", "token of ", "keys and "])
+        plain = not yes and r.random() < 0.3  # a word like any other after a cue
+        body = f"{w()}{w()}{w()}{w()}"[:16].ljust(8, "e") if plain else r.choice((good if yes else bad)[SECRET])()
+        hint = f"{r.choice(names)}{r.choice([' = ', '=', ': ', ' = '])}{r.choice(['', chr(34), chr(39)])}" if yes or plain else r.choice(["commit ", "sha1 ", "md5: ", "checksum ", "the ", "file ", "version ", "id ", "uuid ", "", "and ", "branch ", "token of ", "keys and "])
         head = f"{w()} {w()} {hint}"
         texts.append(head + body + (hint[-1] if hint.endswith(('"', "'")) else "") + f" {w()} {w()}")
         spans.append((SECRET, len(head), len(head) + len(body)))
