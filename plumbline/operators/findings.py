@@ -132,11 +132,17 @@ def strong_components(pairs: DataFrame, small: int = SMALL) -> DataFrame:
     return _in_rounds(settled(edges))
 
 
-def cycle_findings(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, members, evidence): each component's sorted members, and the pair edges among them, as 'a->b'."""
+def cycle_edges(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, source, target): the pair edges inside components, a row each, for components of any size."""
     of = lambda x: components.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-    among = inner(pairs).select("source", "target").distinct().join(of("s"), F.col("source") == F.col("s")).join(of("t"), F.col("target") == F.col("t")).where("c_s = c_t")
-    evidence = among.groupBy(F.col("c_s").alias("__c")).agg(F.sort_array(F.collect_list(F.concat("source", F.lit("->"), "target"))).alias("evidence"))
+    among = inner(pairs).select("source", "target").distinct().join(of("s"), F.col("source") == F.col("s")).join(of("t"), F.col("target") == F.col("t"))
+    return among.where("c_s = c_t").select(F.col("c_s").alias("component"), "source", "target")
+
+
+def cycle_findings(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, members, evidence): each component's sorted members, and the pair edges among them, as 'a->b'. A finding
+    is read by people and so is one row; components and cycle_edges have the same as rows."""
+    evidence = cycle_edges(pairs, components).groupBy(F.col("component").alias("__c")).agg(F.sort_array(F.collect_list(F.concat("source", F.lit("->"), "target"))).alias("evidence"))
     members = components.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))
     return members.join(evidence, F.col("component") == F.col("__c")).select("component", "members", "evidence")
 

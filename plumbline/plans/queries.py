@@ -187,6 +187,12 @@ def cycles(spark, sf_dir):
     return findings.cycle_findings(pairs, findings.strong_components(pairs)).select("component", text("members").alias("members"), text("evidence").alias("evidence"))
 
 
+@query("g2_cycle_edges", f"WITH RECURSIVE {b.REFERRALS}, {b.REACH} SELECT x.component, source, target FROM refers JOIN members x ON source = x.id JOIN members y ON target = y.id WHERE x.component = y.component AND source <> target")
+def cycle_edges(spark, sf_dir):
+    pairs = b.referrals(spark, sf_dir)
+    return findings.cycle_edges(pairs, findings.strong_components(pairs))
+
+
 TRIAGE = """
 own AS (SELECT source, target FROM refers JOIN people x ON source = x.id JOIN people y ON target = y.id WHERE NOT x.far AND NOT y.far AND source <> target),
 triage AS (
@@ -394,9 +400,18 @@ def grid(spark, sf_dir):
     return layout.grid(b.nations(spark, sf_dir), 3, "group_id")
 
 
+def scanned(spark, sf_dir, table):
+    """A table of the small sources' graph, settled, so that what the scan kept can be let go."""
+    found = scan_files(b.sources(spark, sf_dir))
+    try:
+        return settled(found.tables()[table])
+    finally:
+        found.release()
+
+
 @query("scan_modules", f"WITH {b.RENDERED} SELECT m AS id FROM good UNION ALL SELECT 'regions/r' || r_regionkey || '.py' FROM region")
 def scan_modules(spark, sf_dir):
-    return scan_files(b.sources(spark, sf_dir)).modules.select("id")
+    return scanned(spark, sf_dir, "modules").select("id")
 
 
 @query("scan_ports", f"""
@@ -406,7 +421,7 @@ UNION ALL SELECT m, 'class', 'Nation_' || k, 12, 'Nation_' || k || '(Region_' ||
 UNION ALL SELECT 'regions/r' || r_regionkey || '.py', 'class', 'Region_' || r_regionkey, 2, 'Region_' || r_regionkey, '', 'A region.' FROM region
 UNION ALL SELECT 'regions/r' || r_regionkey || '.py', 'function', 'helper', 5, '(x, y=2)', 'x,y', NULL FROM region""")
 def scan_ports(spark, sf_dir):
-    return scan_files(b.sources(spark, sf_dir)).ports.drop("seq").withColumn("params", text("params"))
+    return scanned(spark, sf_dir, "ports").drop("seq").withColumn("params", text("params"))
 
 
 @query("scan_edges", f"""
@@ -420,12 +435,12 @@ UNION ALL SELECT m, t, 'helper', 'call', '7' FROM e
 UNION ALL SELECT m, t, 'Region_' || r, 'inheritance', '12' FROM e
 UNION ALL SELECT m, 'acme_' || r || '.tools', 'run', 'call', '16' FROM e""")
 def scan_edges(spark, sf_dir):
-    return scan_files(b.sources(spark, sf_dir)).edges.select("source", "target", "targetPort", "kind", text(F.transform("sites", lambda x: x.cast("string"))).alias("sites"))
+    return scanned(spark, sf_dir, "edges").select("source", "target", "targetPort", "kind", text(F.transform("sites", lambda x: x.cast("string"))).alias("sites"))
 
 
 @query("scan_externals", f"WITH {b.RENDERED} SELECT DISTINCT 'acme_' || r || '.tools' AS id FROM good UNION SELECT 'json.decoder' FROM good")
 def scan_externals(spark, sf_dir):
-    return scan_files(b.sources(spark, sf_dir)).externals.select("id")
+    return scanned(spark, sf_dir, "externals").select("id")
 
 
 @query("scan_diagnostics", f"""
@@ -433,7 +448,7 @@ WITH {b.RENDERED}
 SELECT 'parse_error' AS kind, m AS moduleId, 1 AS line, 'syntax error: invalid syntax' AS message FROM n WHERE k % 7 = 6
 UNION ALL SELECT 'unresolved_symbol', m, 15, 'unresolved symbol ''undefined_' || k || '''' FROM good""")
 def scan_diagnostics(spark, sf_dir):
-    return scan_files(b.sources(spark, sf_dir)).diagnostics.select("kind", "moduleId", "line", "message")
+    return scanned(spark, sf_dir, "diagnostics").select("kind", "moduleId", "line", "message")
 
 
 @query("scan_calls", f"""
@@ -442,7 +457,7 @@ SELECT m AS module_id, '_private' AS src, 'public_' || k AS dst, 10 AS line FROM
 UNION ALL SELECT m, '<module>', '_private', 15 FROM good
 UNION ALL SELECT 'regions/r' || r_regionkey || '.py', 'helper', 'Region_' || r_regionkey, 6 FROM region""")
 def scan_calls(spark, sf_dir):
-    return scan_files(b.sources(spark, sf_dir)).calls
+    return scanned(spark, sf_dir, "calls")
 
 
 PORT = """'{"kind":"' || kind || '","name":"' || name || '"' """

@@ -40,8 +40,13 @@ class Graph:
             df.unpersist()
 
 
-def scan_files(files: DataFrame, *, stdlib: tuple[str, ...] = STDLIB, builtins: tuple[str, ...] = BUILTINS, by_root: bool = False) -> Graph:
-    """The graph of a frame (module_id, content). Each source is parsed once; all else is joins and aggregates.
+def scan_files(files: DataFrame, **how) -> Graph:
+    """The graph of a frame (module_id, content). Each source is parsed once; all else is joins and aggregates (scan_facts)."""
+    return scan_facts(py_facts(files), files.select("module_id"), **how)
+
+
+def scan_facts(stated: DataFrame, files: DataFrame, *, stdlib: tuple[str, ...] = STDLIB, builtins: tuple[str, ...] = BUILTINS, by_root: bool = False) -> Graph:
+    """The graph of facts that files (module_id) state, as py_facts gives them.
 
     The facts and what most tables share are kept in memory or on disk until release(); a lost part is made again.
     """
@@ -51,7 +56,7 @@ def scan_files(files: DataFrame, *, stdlib: tuple[str, ...] = STDLIB, builtins:
         kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
-    facts = _kept(py_facts(files))
+    facts = _kept(stated)
     index = _kept(resolve.module_index(files))
     modules = facts.where("fact = 'module'").select(F.col("module_id").alias("id"), F.col("module_id").alias("path"))
     ports = facts.where("fact = 'port'").select(F.col("module_id").alias("moduleId"), "seq", "kind", "name", "line", "signature", "params", "docstring")

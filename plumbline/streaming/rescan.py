@@ -1,4 +1,5 @@
-"""Rescans while files arrive. Resolution is global, so each batch of new files is followed by a resolution of all facts."""
+"""Rescans while files arrive. A file is parsed once, when it comes; resolution is global, so each batch of new files is
+followed by a resolution of the facts of all."""
 
 from __future__ import annotations
 
@@ -8,22 +9,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.pyfacts import py_facts
+from ..plans.scan import Graph, scan_facts
 
-def watch(spark: SparkSession, root: str, store: str, checkpoint: str, then: Callable[[DataFrame], None], *, available_now: bool = True) -> StreamingQuery:
-    """Streams new *.py files below root; each batch is appended to the Parquet table `store` (module_id, content, batch),
-    whereupon `then` gets the latest content of every file so far, for instance to call scan_files. A batch that is tried
-    again overwrites its own part."""
+
+def _arrivals(spark: SparkSession, root: str) -> DataFrame:
     at = root.rstrip("/") if "://" in root else f"file://{root.rstrip('/')}"
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(at)
     path = F.regexp_replace("path", r"^file:/+", "file:///")
-    files = stream.select(F.substring(path, len(at) + 2, 1 << 20).alias("module_id"), "content", "modificationTime")
+    return stream.select(F.substring(path, len(at) + 2, 1 << 20).alias("module_id"), "content", "modificationTime")
+
+
+def _started(files: DataFrame, taken, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = files.writeStream.foreachBatch(taken).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def watch(spark: SparkSession, root: str, store: str, checkpoint: str, then: Callable[[DataFrame], None], *, available_now: bool = True) -> StreamingQuery:
+    """Streams new *.py files below root; each batch is appended to the Parquet table `store` (module_id, content, batch),
+    whereupon `then` gets the latest content of every file so far. A batch that is tried again overwrites its own part."""
 
     def taken(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
         spark.catalog.refreshByPath(store)  # else a cached scan of the files so far would stand for the new ones too
         every = spark.read.option("basePath", store).parquet(store)
-        latest = every.groupBy("module_id").agg(F.max_by("content", F.struct("modificationTime", "batch")).alias("content"))
-        then(latest)
+        then(every.groupBy("module_id").agg(F.max_by("content", F.struct("modificationTime", "batch")).alias("content")))
 
-    writer = files.writeStream.foreachBatch(taken).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _started(_arrivals(spark, root), taken, checkpoint, available_now)
+
+
+def watch_graph(spark: SparkSession, root: str, store: str, checkpoint: str, then: Callable[[Graph], None], *, available_now: bool = True, **how) -> StreamingQuery:
+    """Streams new *.py files below root; the facts of each batch are appended to the Parquet table `store`/facts, its files
+    to `store`/files, whereupon `then` gets the graph of all files so far: of a file that came again only the facts of its
+    latest batch count. Sources are not read a second time, and not kept."""
+
+    def taken(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("module_id").agg(F.max_by("content", "modificationTime").alias("content"))
+        last.select("module_id").write.mode("overwrite").parquet(f"{store}/files/batch={number}")
+        py_facts(last).write.mode("overwrite").parquet(f"{store}/facts/batch={number}")
+        spark.catalog.refreshByPath(store)
+        read = lambda part: spark.read.option("basePath", f"{store}/{part}").parquet(f"{store}/{part}")
+        files = read("files").groupBy("module_id").agg(F.max("batch").alias("batch"))
+        facts = read("facts").join(files, ["module_id", "batch"], "left_semi").drop("batch")
+        found = scan_facts(facts, files.select("module_id"), **how)
+        then(found)
+        found.release()
+
+    return _started(_arrivals(spark, root), taken, checkpoint, available_now)

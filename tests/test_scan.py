@@ -148,3 +148,14 @@ def test_stream_of_files(spark, root, tmp_path):
         (tmp_path / "code" / f"{name}.py").write_text("import json\nimport far\n")
         watch(spark, str(tmp_path / "code"), f"file://{tmp_path}/store", f"file://{tmp_path}/check", lambda df: seen.append(sorted(m.id for m in scan_files(df).modules.collect()))).awaitTermination(120)
     assert seen == [["a.py"], ["a.py", "b.py"]]
+
+
+def test_stream_keeps_facts(spark, tmp_path):
+    from plumbline.streaming.rescan import watch_graph
+
+    seen = []
+    (tmp_path / "code").mkdir()
+    for name, text in (("a", "import far\n"), ("b", "from a import run\nrun()\n"), ("a2", "def run():\n    pass\n")):
+        (tmp_path / "code" / f"{name}.py").write_text(text)
+        watch_graph(spark, str(tmp_path / "code"), f"file://{tmp_path}/store", f"file://{tmp_path}/check", lambda g: seen.append((g.modules.count(), sorted((e.source, e.target) for e in g.edges.collect())))).awaitTermination(120)
+    assert seen[0] == (1, [("a.py", "far")]) and seen[1] == (2, [("a.py", "far"), ("b.py", "a.py"), ("b.py", "a.py")]) and seen[2][0] == 3
