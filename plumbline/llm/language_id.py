@@ -201,6 +201,7 @@ def identify(docs: DataFrame, net: Network, *, lang: str = "lang_pred", score: s
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null and letterless texts are `und`, as identify says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = fit_language_id(docs)
     return identify(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -69,6 +69,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 0.0, *
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, drawn by WEIGHTS and REST; null texts, sources and ids as mix_sources says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs, WEIGHTS, REST).select("shuffle_key", "doc_id", "copy", "source", "text")
 

@@ -255,4 +255,5 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, *, end_id: int
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048; null texts are empty ones, as pack_documents says."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

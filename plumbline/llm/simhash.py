@@ -265,6 +265,7 @@ def simhash_dedup(docs: DataFrame, **how) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null and blank texts have fingerprint 0, null ids a row, as simhash_components says."""
     return simhash_components(table(spark, sf_dir, "documents"))
 
 

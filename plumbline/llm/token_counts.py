@@ -58,7 +58,8 @@ def length_histogram(lengths: DataFrame, by: str) -> DataFrame:
     - docs, tokens: the group's totals.
 
     Between two lengths a < L < b that follow each other, docs_ge is that of b and the truncated total grows by
-    docs_ge(b) for each token from a on, so `at_limit` answers any L. A null group is a group. Rows are as many as
+    docs_ge(b) for each token from a on, so `at_limit` answers any L. A null group is a group; other columns are not
+    read; an empty table gives an empty one. Rows are as many as
     distinct lengths; no window holds more than BLOCK of them, or a group's blocks: a task never gets a whole group.
     """
     counts = lengths.groupBy(by, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("__b", F.floor(F.col("n_tokens") / BLOCK))
@@ -94,5 +95,6 @@ def quantile(histogram: DataFrame, by: str, q: float) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of all documents by source, a null one too; null and empty texts have length 0."""
     docs = table(spark, sf_dir, "documents")
     return length_histogram(encoded_lengths(docs, tokenizer_path("byte_bpe_50k.tiktoken"), "source"), "source")

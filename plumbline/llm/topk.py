@@ -278,6 +278,7 @@ def hash_of(raw: bytes) -> bytes:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all; unusable vectors take no part, as top_k says."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(rows, rows.where("vec_id % 100 = 0"), 10)
 

@@ -274,6 +274,7 @@ def read_warc(spark: SparkSession, folder: str, index: DataFrame, payloads: bool
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written and read back; null html is empty, repeated pages as write_warc says."""
     folder = new_folder(spark, "warc")
     index = write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder, index)
