@@ -1,4 +1,8 @@
-"""The corpus pipeline: five operators in turn, each stage written as Parquet and read again by the next."""
+"""The corpus pipeline: five operators in turn, each stage written as Parquet and read again by the next.
+
+Every stage takes rows of null or repeated doc_ids as documents of their own, gives an empty table for an empty one, and
+all but the last return the columns of docs, whatever others there are; a text is read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,8 @@ LEAST_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network tells; a null lang becomes the one told."""
+    """Documents whose language the network tells; a null lang becomes the one told. Null texts, texts without a letter and
+    those of a score below LEAST_SCORE go. Without any labelled text no language is known, and all go."""
     lean(spark)
     found = identify(docs, fit_language_id(docs), lang="__pred", score="__score")
     kept = found.where((F.col("__pred") != UND) & (F.col("__score") >= LEAST_SCORE))
@@ -26,24 +31,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies: similarity 0.8 or more of five-word shingles, verified."""
+    """One document of each group of copies and near copies: similarity 0.8 or more of five-word shingles, verified. It is
+    that of the smallest doc_id, a null one only if there is no other; texts without words, null ones too, are copies."""
     lean(spark)
     return near_dedup(docs, shingle=5, least=0.8)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by marks."""
+    """Every document, its personal data and secrets replaced by marks; n_chars follows. A null text stays null."""
     lean(spark)
     return redact_pii(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture's weights ask for, in global random order."""
+    """Documents as often as the mixture's weights ask for, in global random order. Null texts weigh nothing but are drawn
+    like others of their source; rows of one doc_id are drawn alike; a source without any text gives none."""
     return mix_sources(docs, WEIGHTS, REST).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids: a row for each piece of a document, with its ids."""
+    """Sequences of 2048 ids: a row for each piece of a document, with its ids. A null or empty text is its end mark alone;
+    copies that the mixture drew have pieces each."""
     lean(spark)
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
