@@ -101,6 +101,28 @@ def batches(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
         release()
 
 
+class Ids(dict):
+    """Numbers from 0 for keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+#: Bytes of a long text that are split at a time.
+PIECE = 4 << 20
+
+
+def pieces(text: str, fold: bytes) -> Iterator[list[bytes]]:
+    """The words of a text whose bytes `fold` maps, separators to spaces; a piece of a long text at a time, cut between words."""
+    data, at = text.encode("utf-8").translate(fold), 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= PIECE else data.find(b" ", at + PIECE)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
 def with_new(df: DataFrame, columns: dict) -> DataFrame:
     """df with these columns; a column of df that has the name of one of them (in any case) gives way."""
     lower = {c.lower() for c in columns}
