@@ -15,7 +15,7 @@ from .common import Ids, pieces, release, table, written
 
 #: A kept term is in at least this many documents of the language; probabilities are whole numbers of this unit.
 LEAST_DOCS, UNIT = 3, 1_000_000_000
-TOP = 200
+TOP, SHARES = 200, 16
 #: Tokens that a task sorts at once; runs and partial results that it holds before it passes them on; pairs made at once.
 TOKENS, HELD, PAIRS = 1_000_000, 600_000, 1_000_000
 #: (lang, source) groups up to which their totals are sent to all tasks (some 100 bytes each); more are joined.
@@ -309,6 +309,10 @@ def source_divergence(docs: DataFrame, *, least: int = LEAST_DOCS, top: int = TO
     sums = none.unionByName(there).unionByName(back).unionByName(extra).unionByName(zero)
     pairs = sums.groupBy("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item")).agg(F.sum("value").alias("value"))
     terms = found.where("part = 'term'").select("lang", "source", "part", "item", "value")
+    # every task has passed on a group's first terms: they are thinned out share by share, before a group meets in one task
+    share = F.pmod(F.xxhash64("item"), F.lit(SHARES))
+    first = F.row_number().over(Window.partitionBy("lang", "source", "share").orderBy(F.desc("value"), "item"))
+    terms = terms.withColumn("share", share).withColumn("rank", first).where(F.col("rank") <= top).drop("share", "rank")
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     return pairs.unionByName(terms).withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= top))
 
