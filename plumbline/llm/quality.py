@@ -81,8 +81,9 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
-def lower_words(text: str) -> list[str]:
-    return text.lower().split()
+def lower_words(text: str) -> list[bytes]:
+    """The words of a text, `[^\\x20\\x09-\\x0D]+`, with A-Z as a-z: other spaces and other capitals are as they stand."""
+    return text.encode("utf-8").lower().split()
 
 
 def language_references(docs: DataFrame, common: int = COMMON) -> DataFrame:
@@ -104,7 +105,7 @@ def language_references(docs: DataFrame, common: int = COMMON) -> DataFrame:
 
     def given(held: dict) -> Iterator[pd.DataFrame]:
         for lang, (words, classes) in held.items():
-            for kind, names, counts in ((0, list(words), list(words.values())), (1, [str(i) for i in range(len(CLASSES))], classes)):
+            for kind, names, counts in ((0, [w.decode() for w in words], list(words.values())), (1, [str(i) for i in range(len(CLASSES))], classes)):
                 if names:
                     yield pd.DataFrame({"lang": [lang] * len(names), "kind": kind, "name": names, "n": counts})
         held.clear()
@@ -125,8 +126,8 @@ def language_references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     return written(joined.select("lang", "classes", F.coalesce(F.col("top.name"), F.array().cast("array<string>")).alias("names"), F.concat(known, F.array(rest)).alias("counts")), "references")
 
 
-def as_reference(classes, names, counts) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
-    return np.asarray(classes, np.float64), {w: i for i, w in enumerate(names)}, np.asarray(counts, np.float64)
+def as_reference(classes, names, counts) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+    return np.asarray(classes, np.float64), {w.encode(): i for i, w in enumerate(names)}, np.asarray(counts, np.float64)
 
 
 def divergence(text: str, reference: tuple) -> tuple[int, float, float]:
@@ -150,22 +151,20 @@ def quality_rules(docs: DataFrame, *, common: int = COMMON, max_class: float = 0
     rows are judged alike; other columns are not read; an empty table gives an empty one.
     """
     references = language_references(docs, common)
-    few = references.count() <= MAX_LANGS
+    size = F.aggregate("classes", F.lit(0).cast("bigint"), lambda x, y: x + y)
+    sent = docs.sparkSession.sparkContext.broadcast({r["lang"]: as_reference(r["classes"], r["names"], r["counts"]) for r in references.orderBy(F.desc(size), "lang").limit(MAX_LANGS).collect()})
     own = docs.select("doc_id", "lang", "text")
-    if few:
-        sent = docs.sparkSession.sparkContext.broadcast({r["lang"]: as_reference(r["classes"], r["names"], r["counts"]) for r in references.collect()})
-    else:
-        own = own.join(references.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
 
     def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value if few else None
+        known = sent.value
         for frame in batches(frames, "text"):
             rows = []
             for i, (lang, text) in enumerate(zip(frame["lang"], frame["text"])):
                 counts = base_counts(text)
                 failed, chars, a, b = base_failed(counts[0], counts[4]), 0, 0.0, 0.0
                 if text:
-                    reference = known[lang if isinstance(lang, str) else None] if few else as_reference(*(frame[c].iloc[i] for c in ("classes", "names", "counts")))
+                    lang = lang if isinstance(lang, str) else None
+                    reference = known[lang] if lang in known else as_reference(*(frame[c].iloc[i] for c in ("classes", "names", "counts")))
                     chars, a, b = divergence(text, reference)
                 far = chars >= least_chars and a > max_class or counts[0] >= least_words and b > max_words
                 rows.append((*counts, failed, a, b, not failed and not far))
@@ -173,7 +172,14 @@ def quality_rules(docs: DataFrame, *, common: int = COMMON, max_class: float = 0
             yield out.assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", *out.columns]]
 
     kind = dict(docs.dtypes)["doc_id"]
-    return own.mapInPandas(judged, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
+    if references.count() <= MAX_LANGS:
+        return own.mapInPandas(judged, schema)
+    # the languages of most text are sent; each of the others, which are joined, has less than one in MAX_LANGS of the text
+    largest = references.sparkSession.createDataFrame([(k,) for k in sent.value], "l string")
+    often = own.join(F.broadcast(largest), F.col("lang").eqNullSafe(F.col("l")), "left_semi")
+    rest = own.join(F.broadcast(largest), F.col("lang").eqNullSafe(F.col("l")), "left_anti").join(references.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
+    return often.mapInPandas(judged, schema).unionByName(rest.mapInPandas(judged, schema))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +205,7 @@ classed AS (
     WHEN regexp_matches(c, '[a-z]') THEN 0 WHEN regexp_matches(c, '[A-Z]') THEN 1 WHEN regexp_matches(c, '[0-9]') THEN 2
     WHEN regexp_matches(c, '[\x20\x09-\x0D\x1C-\x1F]') THEN 3 WHEN regexp_matches(c, '[.,;:!?''"()\-]') THEN 4 WHEN regexp_matches(c, '[#*$%&|<>]') THEN 5 ELSE 6 END AS k, count(*) AS n
   FROM letters GROUP BY ALL),
-heard AS (SELECT r, lang, x, count(*) AS n FROM (SELECT r, lang, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS x FROM d) GROUP BY ALL),
+heard AS (SELECT r, lang, x, count(*) AS n FROM (SELECT r, lang, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS x FROM d) GROUP BY ALL),
 top AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, x) AS k FROM heard GROUP BY lang, x QUALIFY k <= 64),
 placed AS (SELECT h.r, h.lang, coalesce(k, 0) AS k, sum(n) AS n FROM heard h LEFT JOIN top t ON h.lang IS NOT DISTINCT FROM t.lang AND h.x = t.x GROUP BY ALL),
 every AS (SELECT 'c' AS what, r, lang, k, n FROM classed UNION ALL SELECT 'w', r, lang, k, n FROM placed),

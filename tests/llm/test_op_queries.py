@@ -15,7 +15,7 @@ ROWS = {
     "documents": [
         *((i, f"{PROSE} number {i} of them", ["en", "de", None][i % 3], ["src0", "src1", "src9", None][i % 4], None, 1, "x") for i in range(1, 40)),
         (None, PROSE, "en", "src0", 5, 1, "x"), (None, None, None, None, None, None, None), (40, None, "en", "src0", 0, 1, "x"), (41, "", "fr", "src2", 0, 1, "x"), (42, " \n\t", None, None, 3, 1, "x"),
-        (7, f"{PROSE} number 7 of them", "de", "src9", None, 1, "x"), (7, "other text of one id ½ ② İ.", "de", "src9", None, 1, "x"), (-14, "Released under the MIT License.", "en", "src0", 31, 1, "x"), (43, "word\n" * 3000 + "| é 日本 𝒳 \x1c *** a.b@c.org", "es", "src3", 9, 1, "x"),
+        (7, f"{PROSE} number 7 of them", "de", "src9", None, 1, "x"), (7, "other text of one id ½ ② İ.", "de", "src9", None, 1, "x"), (-14, "Released under the MIT License.", "en", "src0", 31, 1, "x"), *((i, f"{PROSE.replace(' ', sep)} ΣΑΣ σας İi ÉCOLE école {i}", "en", "src1", 1, 1, "x") for i, sep in enumerate(("\u00a0", "\u3000", "\x85", "\x1c", "\u2028"), 60)), (43, "word\n" * 3000 + "| é 日本 𝒳 \x1c *** a.b@c.org", "es", "src3", 9, 1, "x"),
     ],
     "pages": [(1, "http://a", "<p>x</p>", "b"), (2, None, "<p>x</p>", "b"), (2, None, "<p>x</p>", "b"), (3, "http://c", None, "b"), (4, "", "", "b"), (None, "http://e", "é", "b"), (9, "http://f", "é", "b"), (9, "http://f", "é", "b"), (10, None, None, None)],
     "embeddings": [*((i, [float((i * k) % 7) - 3 + k * i / 100 for k in range(1, 9)], 0, 1) for i in range(120)), (None, [1.0] * 8, 0, 1), (500, None, 0, 1), (600, [1.0, None] + [0.0] * 6, 0, 1), (700, [float("nan")] * 8, 0, 1), (800, [3e5, -3e5, 299999.25, 1.0, 2.0, 3.0, 4.0, 5.0], 0, 1), (801, [3e5, -3e5, 299999.5, 1.0, 2.0, 3.0, 4.0, 5.5], 0, 1), (900, [1.0, 2.0], 0, 1), (1000, [], 0, 1)],
