@@ -22,8 +22,11 @@ from .simhash import first_rows, majority, shingle_hashes, simhash_links, text_k
 BANDS, WIDTH = 20, 4
 #: Differing bits of fingerprints up to which SimHash proposes a pair: two segments find every such pair.
 BITS = 3
-#: Pairs of one leader from which its set is broadcast instead of shuffled.
-HOT = 1000
+#: Pairs of one leader from which its set doesn't go to one task with them all: it is broadcast, while the sets of all such
+#: leaders have at most SENT shingles (8 bytes each) together; else its pairs are dealt out to SHARES, each with a copy.
+HOT, SENT, SHARES = 1000, 8_000_000, 32
+#: Texts that have one shingle early from which they meet by size classes; each class is by this factor larger than the last.
+COMMON, CLASS = 64, 1.02
 #: Rows (some 60 bytes each) up to which the table of wanted texts is broadcast to the texts.
 BROADCAST = 300_000
 #: Counters of shingles by hash; they only order a text's shingles, so that one that counts for several does no harm.
@@ -81,7 +84,13 @@ def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) ->
         hot = written(pairs.groupBy("b").count().where(F.col("count") >= HOT).select("b"), "hot")
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
         of = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-        met = left.join(F.broadcast(of.join(F.broadcast(hot), "b")), "b").unionByName(left.join(F.broadcast(hot), "b", "left_anti").join(of, "b"))
+        leaders = of.join(hot, "b", "left_semi")
+        if (leaders.agg(F.sum(F.size("y"))).first()[0] or 0) <= SENT:
+            crowded = left.join(F.broadcast(leaders), "b")
+        else:
+            copies = leaders.select("b", "y", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+            crowded = left.join(hot, "b", "left_semi").withColumn("share", F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int")).join(copies, ["b", "share"]).drop("share")
+        met = crowded.select("b", "a", "x", "y").unionByName(left.join(hot, "b", "left_anti").join(of, "b").select("b", "a", "x", "y"))
         both = F.size(F.array_intersect("x", "y"))
         return written(met.where(both >= least * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"), "near")
 
@@ -109,15 +118,9 @@ def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) ->
     return links.unionByName(verified(rare_pairs(sets, left, least)))
 
 
-def rare_pairs(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of nodes (node, root) of different roots whose sets can be of similarity `least`; none of those that
-    are is left out.
-
-    A text's shingles are put in order, rarest first. Two sets of n and m shingles of which at least the share `least` of
-    all is common have at least need = least / (1 + least) * (n + m) in common. So the first common one, at places i and
-    j, has need - 1 more after it in both: n - i and m - j are at least need. Then i is below the n - least * n first
-    places. Only these are joined, on the shingle; what many texts share comes late in their order and so meets nobody.
-    """
+def early_places(sets: DataFrame, nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(few, larger, smaller): the places that rare_pairs joins: few with each other by the shingle s, larger with smaller by
+    s and both size classes."""
     spark = sets.sparkSession
     known = written(sets.join(nodes.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("node", "root", "own"), "left")
     at = F.pmod("s", F.lit(COUNTERS))
@@ -140,11 +143,49 @@ def rare_pairs(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                     yield pd.DataFrame({"s": own[first[places]], "node": node, "root": root, "n": n, "i": places})
 
     early = written(known.mapInPandas(ordered, "s long, node long, root long, n long, i long"), "early")
-    other = early.toDF("s", "b", "r", "m", "j")
-    need = F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9
-    one = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("b")))
-    met = early.join(other.withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & one & (F.col("root") != F.col("r")) & (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need))
-    return met.select(F.col("node").alias("a"), "b")
+    often = written(early.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > COMMON).select("s"), "often")
+    few = early.join(often, "s", "left_anti")
+    share = least / (1 + least)
+    # class c has the sizes from ceil(CLASS ** c) up to below the next; no text is smaller than `low` of its class
+    scale = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(CLASS)) + 1e-9)
+    low = lambda c: F.pow(F.lit(CLASS), c.cast("double"))
+    n, i = F.col("n"), F.col("i")
+    fits = lambda c: n - i >= share * (n + low(c)) - 1e-6
+    dealt = early.join(often, "s", "left_semi").withColumn("c", scale(n))
+    larger = dealt.select("*", F.explode(F.filter(F.sequence(scale(F.greatest(n * least - 1e-6, F.lit(1.0))), F.col("c")), fits)).alias("to")).select("s", "node", "root", "n", "i", F.col("c").alias("large"), F.col("to").alias("small"))
+    smaller = dealt.select("*", F.explode(F.filter(F.sequence(F.col("c"), scale(n / least + 1e-6)), fits)).alias("to")).select("s", "node", "root", "n", "i", F.col("to").alias("large"), F.col("c").alias("small"))
+    return few, larger, smaller
+
+
+def rare_pairs(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of nodes (node, root) of different roots whose sets can be of similarity `least`; none of those that
+    are is left out.
+
+    A text's shingles are put in order, rarest first. Two sets of n and m shingles of which at least the share `least` of
+    all is common have at least need = least / (1 + least) * (n + m) in common. So the first common one, at places i and
+    j, has need - 1 more after it in both: n - i and m - j are at least need. Then i is below the n - least * n first
+    places. Only these are joined, on the shingle; what many texts share comes late in their order and so meets nobody.
+
+    A shingle that stands early in over COMMON texts would still make all pairs of them, if only to drop most by their
+    places: texts of one form, say, whose common part comes right after what each has alone. There the bounds are part of
+    the key. Sizes are in classes; a text at place i can be the larger one only of classes whose texts are so small, and the
+    smaller one only of classes whose texts are so small, that need leaves room for i. So two of one size meet at a shingle
+    only in the first n * (1 - least) / (1 + least) places of both.
+    """
+    share, (few, larger, smaller) = least / (1 + least), early_places(sets, nodes, least)
+
+    def pairs(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+        """Of each pair once: the larger text, of equal ones the smaller node, is on the left."""
+        other = right.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("node").alias("b"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("i").alias("j"))
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(c) == F.col(f"__{c}")
+        need = F.lit(share) * (F.col("n") + F.col("m")) - 1e-9
+        one = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("b")))
+        met = left.join(other, same & one & (F.col("root") != F.col("r")) & (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need))
+        return met.select(F.col("node").alias("a"), "b")
+
+    return pairs(few, few, ["s"]).unionByName(pairs(larger, smaller, ["s", "large", "small"]))
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:

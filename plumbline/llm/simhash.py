@@ -110,10 +110,13 @@ def near_links(fps: np.ndarray, owns, max_bits: int) -> tuple[np.ndarray, np.nda
     """What the links between these fingerprints connect, as a star for each component: a row for each of its other
     fingerprints with its smallest one. owns tells for differences which of them link.
 
-    Up to PAIRWISE fingerprints, or for more than two bits, blocks are compared with all; else every owned flip of at
-    most two bits is looked up.
+    Up to PAIRWISE fingerprints are compared with each other; of more, every owned flip of at most two bits is looked up.
+    For more bits than two they are parted: the bits in which they vary are cut into max_bits + 1 blocks, in one of which a
+    linked pair is equal; those that are equal in a block are looked at in turn, parted again while they are many.
     """
     fps = np.unique(fps)
+    if len(fps) < 2:
+        return fps[:0], fps[:0]
     a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def add(x: np.ndarray, y: np.ndarray) -> None:
@@ -122,11 +125,24 @@ def near_links(fps: np.ndarray, owns, max_bits: int) -> tuple[np.ndarray, np.nda
         if len(a) > 1_000_000:
             a, b = local_roots(a, b)
 
+    def compared(some: np.ndarray) -> None:
+        vary = int(np.bitwise_or.reduce(some ^ some[0]))
+        bits = [1 << k for k in range(64) if vary >> k & 1]
+        if len(some) <= PAIRWISE or len(bits) <= max_bits:
+            for i in range(0, len(some), 256):
+                block, others = some[i : i + 256], some[i:]
+                j, k = np.nonzero(np.triu(owns(block[:, None] ^ others[None, :]), 1))
+                add(np.minimum(block[j], others[k]), np.maximum(block[j], others[k]))
+            return
+        for q in range(max_bits + 1):
+            part = some & np.uint64(sum(bits[q :: max_bits + 1]))
+            order = np.argsort(part, kind="stable")
+            for group in np.split(some[order], np.flatnonzero(np.diff(part[order])) + 1):
+                if len(group) > 1:
+                    compared(group)
+
     if len(fps) <= PAIRWISE or max_bits > 2:
-        for i in range(0, len(fps), 256):
-            block, others = fps[i : i + 256], fps[i:]
-            j, k = np.nonzero(np.triu(owns(block[:, None] ^ others[None, :]), 1))
-            add(block[j], others[k])
+        compared(fps)
     else:
         bits = [1 << k for k in range(64)]
         flips = np.array(sorted({x | y for x in bits for y in (bits if max_bits == 2 else [x])}), np.uint64)

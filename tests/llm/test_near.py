@@ -88,3 +88,59 @@ def test_empty_table_and_clashing_names(spark):
     rows = [(1, None, 5, 5, 5), (2, "", 6, 6, 6), (3, " ", 7, 7, 7), (4, "a b", 8, 8, 8), (4, "a b", 9, 9, 9)]
     out = near.near_dedup(spark.createDataFrame(rows, docs.schema))
     assert out.columns == docs.columns and sorted(x.doc_id for x in out.collect()) == [1, 4]
+
+
+def test_texts_of_one_form_do_not_meet_each_with_each(spark):
+    """5,000 texts of one form, of similarity 0.75 to each other: the places that meet stay in proportion to the texts; and
+    of those above the limit none is left out."""
+    from pyspark.sql import functions as F
+
+    form, own = np.arange(600), 1_000_000
+    rows = []
+    for k in range(5000):  # c common and u own shingles: c / (c + 2 u) = 0.75; one text in fifty shares most of the last one's
+        mine = own + 100 * k + np.arange(100) if k % 50 else own + 100 * (k - 1) + 100 + np.arange(100)
+        rows.append((k, [int(x) for x in np.concatenate([form, mine])]))
+    rows += [(5000 + k, [int(x) for x in np.concatenate([form, own + 100 * (51 * k + 1) + np.arange(88), 9_000_000 + 100 * k + np.arange(12)])]) for k in range(40)]
+    sets = spark.createDataFrame(rows, "node long, own array<long>").repartition(8)
+    nodes = sets.select("node", F.col("node").alias("root"))
+    few, larger, smaller = near.early_places(sets, nodes, 0.8)
+    count = lambda df, *by: {tuple(r[:-1]): r[-1] for r in df.groupBy(*by).count().collect()}
+    met = sum(n * (n - 1) for n in count(few, "s").values())
+    left, right = (count(df, "s", "large", "small") for df in (larger, smaller))
+    met += sum(n * right.get(k, 0) for k, n in left.items())
+    assert met <= 40 * len(rows)
+    found = {tuple(sorted(r)) for r in near.rare_pairs(sets, nodes, 0.8).collect()}
+    assert {(51 * k + 1, 5000 + k) for k in range(40)} <= found
+
+
+def test_rare_pairs_leave_out_none_when_shingles_are_common(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near, "COMMON", 2)
+    draw = np.random.default_rng(3)
+    rows, base = [], [draw.choice(5000, 300, replace=False) for _ in range(6)]
+    for k in range(240):
+        keep = base[k % 6][draw.random(300) < draw.choice([1.0, 0.95, 0.85])]
+        rows.append((k, sorted({*map(int, keep), *map(int, draw.choice(5000, int(draw.integers(0, 40))))})))
+    sets = spark.createDataFrame(rows, "node long, own array<long>")
+    exact = {(i, j) for i, x in rows for j, y in rows if i < j and len({*x} & {*y}) >= 0.8 * len({*x} | {*y})}
+    found = {tuple(sorted(r)) for r in near.rare_pairs(sets, sets.select("node", F.col("node").alias("root")), 0.8).collect()}
+    assert len(exact) > 100 and exact <= found
+
+
+def test_long_runs_of_fingerprints_are_parted(monkeypatch):
+    draw = np.random.default_rng(4)
+    fps = np.unique(draw.integers(0, 1 << 14, 3000).astype(np.uint64) << np.uint64(20))
+    owns = lambda x: np.bitwise_count(x) <= 3
+    whole = simhash.near_links(fps[:900], owns, 3)
+    monkeypatch.setattr(simhash, "PAIRWISE", 20)
+    parted = simhash.near_links(fps[:900], owns, 3)
+    assert {tuple(x) for x in zip(*map(list, whole))} == {tuple(x) for x in zip(*map(list, parted))}
+
+
+def test_leaders_of_many_pairs_are_dealt_out(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = sorted(r.doc_id for r in near.near_dedup(docs).select("doc_id").collect())
+    monkeypatch.setattr(near, "HOT", 2)
+    monkeypatch.setattr(near, "SENT", 1)
+    assert sorted(r.doc_id for r in near.near_dedup(docs).select("doc_id").collect()) == before
