@@ -82,6 +82,22 @@ def quotient(edges: DataFrame, *groupings: DataFrame) -> DataFrame:
     return pair_edges(inner(edges))
 
 
+def rolled_up(edges: DataFrame) -> DataFrame:
+    """(depth, source, target, kinds, n_raw): the edges between the packages of each depth, in one pass.
+
+    At a depth a path stands as its first `depth` components (one that is not so deep as itself). An edge counts at every
+    depth below the last package that both ends have in common: there they differ. So each edge becomes as many rows as its
+    deeper end has components beyond that, which one aggregate by depth and pair takes up; at the greatest depth the rows are
+    the pair edges themselves. Loops and edges with a null end are left out.
+    """
+    a, b = F.split("source", "/"), F.split("target", "/")
+    deepest = F.greatest(F.size(a), F.size(b))
+    known = inner(edges).select("source", "target", "kind", F.filter(F.sequence(F.lit(1), deepest), lambda k: F.slice(a, F.lit(1), k) != F.slice(b, F.lit(1), k)).alias("depths"))
+    each = known.select(F.explode("depths").alias("depth"), "source", "target", "kind")
+    cut = lambda c: F.array_join(F.slice(F.split(c, "/"), F.lit(1), F.col("depth")), "/")
+    return each.groupBy("depth", cut("source").alias("source"), cut("target").alias("target")).agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.count(F.lit(1)).alias("n_raw"))
+
+
 def collapse_external(edges: DataFrame, externals: DataFrame, node: str = "third-party") -> DataFrame:
     """(source, target, members): edges to externals as edges to one node that keeps their names, others as they are."""
     marked = edges.select("source", "target").distinct().join(externals.select(F.col("id").alias("__e")).distinct(), F.col("target") == F.col("__e"), "left")
