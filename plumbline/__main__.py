@@ -1,4 +1,4 @@
-"""python -m plumbline ROOT [--output FILE] [--exclude DIR ...]: scans the Python files below ROOT into JSON."""
+"""python -m plumbline ROOT [--output FILE] [--exclude DIR ...] [--expand-stars]: scans the Python files below ROOT into JSON."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("root")
     parser.add_argument("--output")
     parser.add_argument("--exclude", nargs="*", default=[])
+    parser.add_argument("--expand-stars", action="store_true", help="count the names that star imports bring as imported")
     args = parser.parse_args(argv)
     from pyspark.sql import SparkSession
 
@@ -24,7 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     except EmptyScan as e:
         print(e, file=sys.stderr)
         return 1
-    text = write_json(scan_codebase(spark, args.root, set(args.exclude)), args.output)
+    text = write_json(scan_codebase(spark, args.root, set(args.exclude), expand_stars=args.expand_stars), args.output)
     if not args.output:
         print(text)
     return 0

@@ -59,10 +59,11 @@ def located_imports(facts: DataFrame, index: DataFrame) -> DataFrame:
     return _exact(rows, "sub", index, "sub_at")
 
 
-def symbol_table(imports: DataFrame) -> DataFrame:
+def symbol_table(imports: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """(module_id, key, entry_module, entry_port): what each bound name of a module stands for; entry_port is null where
     it is a module. An alias or from-import takes its name whatever had it; the root of a dotted import only takes a free
-    one. So: the last firm binding, else the first loose one."""
+    one. So: the last firm binding, else the first loose one. extra (module_id, seq, key, entry_module, entry_port) are
+    further firm bindings, such as those of expanded star imports."""
     plain = F.col("kind") == "import"
     key = F.coalesce("alias", "name")
     root = F.substring_index("name", ".", 1)
@@ -70,6 +71,8 @@ def symbol_table(imports: DataFrame) -> DataFrame:
     firm = F.struct(key.alias("key"), F.lit(True).alias("firm"))
     loose = F.when(plain & (root != key), F.struct(root.alias("key"), F.lit(False).alias("firm")))
     bound = imports.where("name <> '*' or kind = 'import'").select("module_id", "seq", entry.alias("entry"), F.explode(F.array_compact(F.array(firm, loose))).alias("b"))
+    if extra is not None:
+        bound = bound.unionByName(extra.select("module_id", "seq", F.struct("entry_module", "entry_port").alias("entry"), F.struct("key", F.lit(True).alias("firm")).alias("b")))
     picked = bound.groupBy("module_id", F.col("b.key").alias("key")).agg(
         F.expr("max_by(entry, seq) filter (where b.firm)").alias("last"), F.expr("min_by(entry, seq) filter (where not b.firm)").alias("first")
     )
@@ -78,7 +81,8 @@ def symbol_table(imports: DataFrame) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, index: DataFrame, ports: DataFrame, stdlib: tuple[str, ...] = STDLIB, **how) -> DataFrame:
-    """Each import row with edge_target, edge_port, external, unresolved; all null where it says nothing (stdlib).
+    """Each import row with edge_target, edge_port, external, unresolved; all null where it says nothing (stdlib). asked_at
+    and asked_name are the module and the name whose port the answer hangs on.
 
     import: a local name, whole or by its longest prefix, is an edge to that module; another an edge to the full name.
     from: the submodule of that name wins, then the module with the port of that name, then a third-party module; a
@@ -94,6 +98,7 @@ def resolve_imports(imports: DataFrame, index: DataFrame, ports: DataFrame, stdl
         F.when(plain | F.col("sub_at").isNotNull(), None).when(F.col("exact_at").isNotNull(), F.col("own_port")).when(third, F.col("name")).alias("edge_port"),
         F.when(third & ~inside, F.col("target")).alias("external"),
         F.when(~plain & ~inside & (F.col("cls") == "local"), F.col("name")).alias("unresolved"),
+        F.when(~plain, F.col("exact_at")).alias("asked_at"), F.when(~plain, F.col("name")).alias("asked_name"),
     )
 
 
@@ -121,6 +126,7 @@ def resolve_references(facts: DataFrame, symbols: DataFrame, index: DataFrame, p
         F.when(follows & (F.col("cls") == "local"), F.col("own_port")).when(third, F.col("attr")).alias("edge_port"),
         F.when(third, F.col("entry_module")).alias("external"),
         F.when(~follows & ~quiet, F.when(dotted, F.concat("base", F.lit("."), "name")).otherwise(F.col("name"))).alias("unresolved"),
+        F.when(follows, F.col("at")).alias("asked_at"), F.when(follows, F.col("attr")).alias("asked_name"),
     )
 
 

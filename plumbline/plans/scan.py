@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.names import BUILTINS, STDLIB
 from ..functions.pyfacts import py_facts
-from ..operators import graph, resolve
+from ..operators import graph, resolve, stars
 from ..sources.files import source_files
 
 
@@ -45,8 +45,9 @@ def scan_files(files: DataFrame, **how) -> Graph:
     return scan_facts(py_facts(files), files.select("module_id"), **how)
 
 
-def scan_facts(stated: DataFrame, files: DataFrame, *, stdlib: tuple[str, ...] = STDLIB, builtins: tuple[str, ...] = BUILTINS, by_root: bool = False) -> Graph:
-    """The graph of facts that files (module_id) state, as py_facts gives them.
+def scan_facts(stated: DataFrame, files: DataFrame, *, stdlib: tuple[str, ...] = STDLIB, builtins: tuple[str, ...] = BUILTINS, by_root: bool = False, expand_stars: bool = False) -> Graph:
+    """The graph of facts that files (module_id) state, as py_facts gives them. With expand_stars the names that star imports
+    of scanned modules bring count as imported; else a star import only explains what stays unresolved.
 
     The facts and what most tables share are kept in memory or on disk until release(); a lost part is made again.
     """
@@ -58,12 +59,27 @@ def scan_facts(stated: DataFrame, files: DataFrame, *, stdlib: tuple[str, ...] =
 
     facts = _kept(stated)
     index = _kept(resolve.module_index(files))
+    imports = _kept(resolve.located_imports(facts, index))
+    extra = stars.star_bindings(facts, imports, index) if expand_stars else None
+    resolved = _kept(resolved_rows(facts, imports, index, port_names(facts), extra, stdlib=stdlib, builtins=builtins, by_root=by_root))
+    return graph_of(facts, imports, resolved, kept)
+
+
+def port_names(facts: DataFrame) -> DataFrame:
+    """(module_id, name) of all ports."""
+    return facts.where("fact = 'port'").select("module_id", "name").distinct()
+
+
+def resolved_rows(facts: DataFrame, imports: DataFrame, index: DataFrame, names: DataFrame, extra: DataFrame | None = None, *, stdlib: tuple[str, ...] = STDLIB, builtins: tuple[str, ...] = BUILTINS, by_root: bool = False) -> DataFrame:
+    """What the imports and references of facts resolve to, a row each; index and names may know more modules than facts."""
+    found = resolve.resolve_imports(imports, index, names, stdlib, by_root=by_root)
+    return found.unionByName(resolve.resolve_references(facts, resolve.symbol_table(imports, extra), index, names, stdlib, builtins, by_root=by_root))
+
+
+def graph_of(facts: DataFrame, imports: DataFrame, resolved: DataFrame, kept: list[DataFrame]) -> Graph:
+    """The graph's tables from facts, their located imports and resolved rows."""
     modules = facts.where("fact = 'module'").select(F.col("module_id").alias("id"), F.col("module_id").alias("path"))
     ports = facts.where("fact = 'port'").select(F.col("module_id").alias("moduleId"), "seq", "kind", "name", "line", "signature", "params", "docstring")
-    names = ports.select(F.col("moduleId").alias("module_id"), "name").distinct()
-    imports = _kept(resolve.located_imports(facts, index))
-    symbols = resolve.symbol_table(imports)
-    resolved = _kept(resolve.resolve_imports(imports, index, names, stdlib, by_root=by_root).unionByName(resolve.resolve_references(facts, symbols, index, names, stdlib, builtins, by_root=by_root)))
     raw = resolved.where("edge_target is not null").select(F.col("module_id").alias("source"), F.col("edge_target").alias("target"), F.col("edge_port").alias("targetPort"), "kind", "line", "stage", "seq")
     return Graph(
         modules, ports, graph.merge_edges(raw), graph.distinct_externals(resolved, "external"), resolve.diagnostics(facts, imports, resolved),

@@ -1,5 +1,4 @@
-"""Rescans while files arrive. A file is parsed once, when it comes; resolution is global, so each batch of new files is
-followed by a resolution of the facts of all."""
+"""Rescans while files arrive. A file is parsed once, when it comes, and only modules that a batch concerns are resolved."""
 
 from __future__ import annotations
 
@@ -9,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.pyfacts import py_facts
-from ..plans.scan import Graph, scan_facts
+from ..plans.scan import Graph
+from .incremental import Incremental
 
 
 def _arrivals(spark: SparkSession, root: str) -> DataFrame:
@@ -39,20 +38,12 @@ def watch(spark: SparkSession, root: str, store: str, checkpoint: str, then: Cal
 
 
 def watch_graph(spark: SparkSession, root: str, store: str, checkpoint: str, then: Callable[[Graph], None], *, available_now: bool = True, **how) -> StreamingQuery:
-    """Streams new *.py files below root; the facts of each batch are appended to the Parquet table `store`/facts, its files
-    to `store`/files, whereupon `then` gets the graph of all files so far: of a file that came again only the facts of its
-    latest batch count. Sources are not read a second time, and not kept."""
+    """Streams new *.py files below root; `then` gets the graph of all files so far after each batch. The state is kept in the
+    folder `store`, by module (incremental.Incremental): sources are read and parsed once, and of a file that came again only
+    what it states now counts."""
+    state = Incremental(spark, store, **how)
 
     def taken(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("module_id").agg(F.max_by("content", "modificationTime").alias("content"))
-        last.select("module_id").write.mode("overwrite").parquet(f"{store}/files/batch={number}")
-        py_facts(last).write.mode("overwrite").parquet(f"{store}/facts/batch={number}")
-        spark.catalog.refreshByPath(store)
-        read = lambda part: spark.read.option("basePath", f"{store}/{part}").parquet(f"{store}/{part}")
-        files = read("files").groupBy("module_id").agg(F.max("batch").alias("batch"))
-        facts = read("facts").join(files, ["module_id", "batch"], "left_semi").drop("batch")
-        found = scan_facts(facts, files.select("module_id"), **how)
-        then(found)
-        found.release()
+        then(state.apply(batch.groupBy("module_id").agg(F.max_by("content", "modificationTime").alias("content")), number))
 
     return _started(_arrivals(spark, root), taken, checkpoint, available_now)
