@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -13,12 +9,12 @@ from ..functions.pyfacts import py_facts
 from ..operators import findings, graph
 from ..operators.order import placed
 from ..sources import sinks
-from ..sources.files import EmptyScan, guarded, source_files
+from ..sources.files import is_refused, source_files
 from ..sources.store import fresh_folder, settled
 from . import bindings as b
 from .corpus import KINDS, TEXTS, corpus
 from .registry import query
-from .scan import as_dict, scan_files
+from .scan import scan_files, sections
 
 CORPUS = f"""
 c AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % {KINDS} AS v, 'shop/n' || c_nationkey || '/c' || c_custkey || '.py' AS m, 'shop/n' || c_nationkey || '/base.py' AS b, 'shop/n' || c_nationkey || '/__init__.py' AS p FROM customer),
@@ -45,7 +41,7 @@ def modules(spark, sf_dir):
     return placed(tables(spark, sf_dir, "modules")[0], paths.component_order(F.col("id")))
 
 
-@query("t3_t6_ports", f"""
+PORTS = f"""
 WITH {CORPUS}, q AS (
   SELECT p AS moduleId, 0 AS seq, 'export' AS kind, 'Base_' || n AS name, 3 AS line, '' AS signature, '' AS params, NULL AS docstring FROM g
   UNION ALL SELECT p, 1, 'export', 'build', 3, '', '', NULL FROM g
@@ -55,7 +51,10 @@ WITH {CORPUS}, q AS (
   UNION ALL SELECT m, 1, 'class', 'Box_' || k, 11, 'Box_' || k || '(Base_' || n || ')', '', NULL FROM c WHERE v = 2
   UNION ALL SELECT m, 0, 'export', 'alpha_' || k, 2, '', '', NULL FROM c WHERE v = 3
   UNION ALL SELECT m, 1, 'export', '_beta', 2, '', '', NULL FROM c WHERE v = 3
-  UNION ALL SELECT m, x.* FROM c, (VALUES (0, 'function', 'twice', 1, '(a)', 'a', NULL), (1, 'function', 'helper', 4, '(twice)', 'twice', NULL), (2, 'function', 'twice', 7, '(a, b)', 'a,b', NULL), (3, 'function', 'caller', 10, '()', '', NULL)) x(seq, kind, name, line, signature, params, docstring) WHERE v = 4)
+  UNION ALL SELECT m, x.* FROM c, (VALUES (0, 'function', 'twice', 1, '(a)', 'a', NULL), (1, 'function', 'helper', 4, '(twice)', 'twice', NULL), (2, 'function', 'twice', 7, '(a, b)', 'a,b', NULL), (3, 'function', 'caller', 10, '()', '', NULL)) x(seq, kind, name, line, signature, params, docstring) WHERE v = 4)"""
+
+
+@query("t3_t6_ports", f"""{PORTS}
 SELECT moduleId, CAST(seq AS INTEGER) AS seq, kind, name, CAST(line AS INTEGER) AS line, signature, params, docstring FROM q""")
 def ports(spark, sf_dir):
     return tables(spark, sf_dir, "ports")[0].withColumn("params", F.array_join("params", ","))
@@ -112,19 +111,24 @@ def diagnostics(spark, sf_dir):
     return placed(tables(spark, sf_dir, "diagnostics")[0], "moduleId", "line", "stage", "seq").drop("stage", "seq")
 
 
-@query("t17_a9_a10_nodes", f"""
-WITH {CORPUS}, q AS (
+NODES = """
+
   SELECT b AS module_id, x.seq, replace(x.name, '#', CAST(n AS VARCHAR)) AS name, x.line FROM g, (VALUES (0, 'Base_#', 1), (1, 'make', 4), (2, '_hidden', 7)) x(seq, name, line)
-  UNION ALL SELECT m, x.seq, replace(x.name, '#', CAST(k AS VARCHAR)), x.line FROM c JOIN (VALUES (2, 0, 'run_#', 5), (2, 1, 'Box_#', 11), (2, 2, '<module>', 0), (4, 0, 'twice', 1), (4, 1, 'helper', 4), (4, 2, 'caller', 10), (4, 3, '<module>', 0), (7, 0, 'café_#', 4), (7, 1, 'Late_#', 11), (7, 2, '<module>', 0)) x(kind, seq, name, line) ON v = x.kind)
-SELECT module_id, CAST(seq AS INTEGER) AS seq, name, CAST(line AS INTEGER) AS line FROM q""")
+  UNION ALL SELECT m, x.seq, replace(x.name, '#', CAST(k AS VARCHAR)), x.line FROM c JOIN (VALUES (2, 0, 'run_#', 5), (2, 1, 'Box_#', 11), (2, 2, '<module>', 0), (4, 0, 'twice', 1), (4, 1, 'helper', 4), (4, 2, 'caller', 10), (4, 3, '<module>', 0), (7, 0, 'café_#', 4), (7, 1, 'Late_#', 11), (7, 2, '<module>', 0)) x(kind, seq, name, line) ON v = x.kind"""
+
+
+@query("t17_a9_a10_nodes", f"WITH {CORPUS}, q AS ({NODES}) SELECT module_id, CAST(seq AS INTEGER) AS seq, name, CAST(line AS INTEGER) AS line FROM q")
 def nodes(spark, sf_dir):
     return tables(spark, sf_dir, "funcs")[0]
 
 
-@query("l6_calls", f"""
+CALLS = f"""
 WITH {CORPUS}, q AS (
   SELECT b AS module_id, x.src, replace(x.dst, '#', CAST(n AS VARCHAR)) AS dst, x.line FROM g, (VALUES ('make', 'Base_#', 5), ('_hidden', 'make', 8)) x(src, dst, line)
-  UNION ALL SELECT m, replace(x.src, '#', CAST(k AS VARCHAR)), replace(x.dst, '#', CAST(k AS VARCHAR)), x.line FROM c JOIN (VALUES (2, '<module>', 'run_#', 10), (4, '<module>', 'caller', 14), (4, '<module>', 'helper', 8), (4, '<module>', 'twice', 14), (4, 'caller', 'twice', 12), (7, '<module>', 'café_#', 14), (7, 'Late_#', 'café_#', 13)) x(kind, src, dst, line) ON v = x.kind)
+  UNION ALL SELECT m, replace(x.src, '#', CAST(k AS VARCHAR)), replace(x.dst, '#', CAST(k AS VARCHAR)), x.line FROM c JOIN (VALUES (2, '<module>', 'run_#', 10), (4, '<module>', 'caller', 14), (4, '<module>', 'helper', 8), (4, '<module>', 'twice', 14), (4, 'caller', 'twice', 12), (7, '<module>', 'café_#', 14), (7, 'Late_#', 'café_#', 13)) x(kind, src, dst, line) ON v = x.kind)"""
+
+
+@query("l6_calls", f"""{CALLS}
 SELECT row_number() OVER (ORDER BY module_id, src, dst, line) AS place, module_id, src, dst, CAST(line AS INTEGER) AS line FROM q""")
 def calls(spark, sf_dir):
     return placed(tables(spark, sf_dir, "calls")[0], "module_id", "src", "dst", "line")
@@ -157,47 +161,61 @@ def files(spark, sf_dir):
 
 @query("s8_guard", "SELECT 'corpus' AS frame, false AS refused UNION ALL SELECT 'none', true")
 def guard(spark, sf_dir):
-    def refused(df):
-        try:
-            guarded(df)
-        except EmptyScan:
-            return True
-        return False
-
     every = corpus(spark, sf_dir)
-    return spark.createDataFrame([("corpus", refused(every)), ("none", refused(every.where("module_id = ''")))], "frame string, refused boolean")
+    frames = {"corpus": every, "none": every.where("module_id = ''")}
+    one, two = (is_refused(df).select(F.lit(name).alias("frame"), "refused") for name, df in frames.items())
+    return one.unionByName(two)
 
 
-SECTIONS = f"""
-WITH {b.RENDERED}, a AS (SELECT count(*) AS n, count(DISTINCT r) AS x FROM good), z AS (SELECT count(*) AS r FROM region), e AS (SELECT count(*) AS n FROM n WHERE k % 7 = 6)"""
+#: Ports as JSON, and the six sections of the document. Text of the corpus needs no escapes.
+JSON = f"""
+{PORTS},
+j AS (SELECT *, '"kind":"' || kind || '","name":"' || name || '","line":' || line || ',"signature":"' || signature || '","params":[' || CASE params WHEN '' THEN '' ELSE '"' || replace(params, ',', '","') || '"' END || ']' || coalesce(',"docstring":"' || docstring || '"', '') AS body FROM q),
+ids AS (SELECT m AS id FROM c WHERE v <> 6 UNION ALL SELECT b FROM g UNION ALL SELECT p FROM g UNION ALL SELECT 'shop/__init__.py')"""
 
 
-@query("k1_k4_document", f"""{SECTIONS}
-SELECT x.* FROM a, z, e, LATERAL (VALUES (0, 'modules', a.n + z.r, z.r, 'docstring'), (1, 'ports', 2 * a.n + 2 * z.r, z.r, 'docstring'), (2, 'edges', 8 * a.n, 6 * a.n, 'targetPort'), (3, 'externalModules', a.x + 1, 0, ''), (4, 'diagnostics', a.n + e.n, 0, ''), (5, 'intra', a.n + z.r, 0, '')) x(place, section, n, n_optional, optional)""")
+@query("k1_k4_document", f"""{JSON}
+SELECT 'modules' AS section, '{{"id":"' || id || '","path":"' || id || '","ports":[' || coalesce(string_agg('{{' || body || '}}', ',' ORDER BY seq), '') || ']}}' AS value FROM ids LEFT JOIN j ON moduleId = id GROUP BY id
+UNION ALL SELECT 'ports', '{{' || body || ',"moduleId":"' || moduleId || '"}}' FROM j
+UNION ALL SELECT 'externalModules', '{{"id":"' || x || '","name":"' || x || '","kind":"third_party"}}' FROM (SELECT DISTINCT 'acme_' || n || '.tools' AS x FROM c WHERE v = 7)""")
 def document(spark, sf_dir):
-    """The graph of the small sources as a JSON document, written and read again: its sections in order, the elements of
-    each, and how many have the field that may be left out."""
-    found = scan_files(b.sources(spark, sf_dir))
-    with tempfile.TemporaryDirectory() as folder:
-        sinks.write_json(as_dict(found), at := os.path.join(folder, "deep", "graph.json"))
+    """Modules with their ports, ports, and external modules of the corpus's document, as its executors wrote them."""
+    at = _document(spark, sf_dir)
+    parts = [spark.read.text(f"{at}/{name}").select(F.lit(name).alias("section"), "value") for name in ("modules", "ports", "externalModules")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _document(spark, sf_dir):
+    found, folder = scan_files(corpus(spark, sf_dir)), fresh_folder(spark, "document")
+    try:
+        sinks.write_sections(sections(found), folder)
+    finally:
         found.release()
-        with open(at, encoding="utf-8") as file:
-            got = json.load(file)
-    optional = {"modules": "docstring", "ports": "docstring", "edges": "targetPort"}
-    rows = []
-    for i, (section, own) in enumerate(got.items()):
-        field, each = optional.get(section, ""), [p for m in own for p in m["ports"]] if section == "modules" else own
-        rows.append((i, section, len(own), sum(field in x for x in each) if field else 0, field))
-    return spark.createDataFrame(rows, "place int, section string, n long, n_optional long, optional string")
-
-
-@query("k4_flat_ports", f"""WITH {b.RENDERED}
-SELECT m AS moduleId, 'public_' || k AS name FROM good UNION ALL SELECT m, 'Nation_' || k FROM good UNION ALL SELECT 'regions/r' || r_regionkey || '.py', 'Region_' || r_regionkey FROM region UNION ALL SELECT 'regions/r' || r_regionkey || '.py', 'helper' FROM region""")
+    return folder
+
+
+@query("k3_edges_document", f"""{EDGES}
+SELECT '{{"source":"' || source || '","target":"' || target || '","kind":"' || kind || '","sites":[{{"line":' || array_to_string(spots, '}},{{"line":') || '}}]' || coalesce(',"targetPort":"' || port || '"', '') || '}}' AS value FROM e""")
+def edges_document(spark, sf_dir):
+    """The document's edges: one without a port has no such field."""
+    return spark.read.text(f"{_document(spark, sf_dir)}/edges")
+
+
+@query("k1_intra_document", f"""
+{CALLS},
+f AS ({NODES}),
+k AS (SELECT module_id, string_agg('{{"from":"' || src || '","to":"' || dst || '","line":' || line || '}}', ',' ORDER BY src, dst, line) AS calls FROM q GROUP BY module_id),
+d AS (SELECT module_id, string_agg('{{"name":"' || name || '","line":' || line || '}}', ',' ORDER BY seq) AS funcs FROM f GROUP BY module_id),
+ids AS (SELECT m AS id FROM c WHERE v <> 6 UNION ALL SELECT b FROM g UNION ALL SELECT p FROM g UNION ALL SELECT 'shop/__init__.py')
+SELECT '{{"id":"' || id || '","funcs":[' || coalesce(funcs, '') || '],"calls":[' || coalesce(calls, '') || ']}}' AS value FROM ids LEFT JOIN d ON d.module_id = id LEFT JOIN k ON k.module_id = id""")
+def intra_document(spark, sf_dir):
+    """The document's sixth section: every parsed module, with nothing inside where there is nothing."""
+    return spark.read.text(f"{_document(spark, sf_dir)}/intra")
+
+
+@query("k4_flat_ports", f"{PORTS} SELECT moduleId, name, kind, CAST(line AS BIGINT) AS line, docstring FROM q")
 def flat_ports(spark, sf_dir):
-    found = scan_files(b.sources(spark, sf_dir))
-    rows = [(p["moduleId"], p["name"]) for p in as_dict(found)["ports"]]
-    found.release()
-    return spark.createDataFrame(rows, "moduleId string, name string")
+    return spark.read.schema("moduleId string, name string, kind string, line long, docstring string").json(f"{_document(spark, sf_dir)}/ports")
 
 
 @query("k5_tables", f"""
@@ -225,12 +243,12 @@ def log(spark, sf_dir):
     return spark.read.schema("name string, key int, run_id string, role string").json(folder)
 
 
-@query("k7_report", "SELECT 'ok' AS status, 'coverage' AS section, n_name AS subject FROM nation UNION ALL SELECT 'ok', 'warnings', r_name FROM region")
+@query("k7_report", "SELECT 'ok' AS status, 'coverage' AS section, c_name AS subject FROM customer UNION ALL SELECT 'ok', 'warnings', r_name FROM region")
 def report(spark, sf_dir):
-    names = lambda t, c: b.table(spark, sf_dir, t).select(F.col(c).alias("subject"))
-    document = json.loads(sinks.write_json(sinks.report("ok", {"coverage": names("nation", "n_name"), "warnings": names("region", "r_name")}), None))
-    rows = [(document["status"], section, r["subject"]) for section in ("coverage", "warnings") for r in document[section]]
-    return spark.createDataFrame(rows, "status string, section string, subject string")
+    names, folder = lambda t, c: b.table(spark, sf_dir, t).select(F.col(c).alias("subject")), fresh_folder(spark, "report")
+    sinks.write_report("ok", {"coverage": names("customer", "c_name"), "warnings": names("region", "r_name")}, folder)
+    read = lambda name: spark.read.schema("status string, subject string").json(f"{folder}/{name}").select("status", F.lit(name).alias("section"), "subject")
+    return read("coverage").unionByName(read("warnings"))
 
 
 @query("g5_no_modules", "SELECT '' AS code, '' AS severity, '' AS subject WHERE false")

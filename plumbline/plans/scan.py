@@ -96,9 +96,33 @@ def scan_codebase(spark: SparkSession, root: str, exclude_dirs: set[str] | None
         found.release()
 
 
+def sections(g: Graph) -> dict[str, tuple[DataFrame, list]]:
+    """The document's sections, each as a table of its elements in their published form, and the columns that order them: for
+    graphs of any size, which executors write (sinks.write_sections) with null fields left out. An element of modules holds its
+    module's ports, one of intra its functions and calls, as the document does; all else is flat."""
+    port = F.struct("kind", "name", "line", "signature", "params", "docstring")
+    own = g.ports.groupBy(F.col("moduleId").alias("__m")).agg(F.sort_array(F.collect_list(F.struct("seq", port.alias("p")))).alias("ps"))
+    none = F.array().cast("array<struct<kind:string,name:string,line:int,signature:string,params:array<string>,docstring:string>>")
+    modules = g.modules.join(own, F.col("id") == F.col("__m"), "left").select("id", "path", F.coalesce(F.col("ps.p"), none).alias("ports"))
+    funcs = g.funcs.groupBy(F.col("module_id").alias("__f")).agg(F.sort_array(F.collect_list(F.struct("seq", "name", "line"))).alias("fs"))
+    calls = g.calls.groupBy(F.col("module_id").alias("__c")).agg(F.sort_array(F.collect_list(F.struct("src", "dst", "line"))).alias("cs"))
+    intra = g.modules.select("id").join(funcs, F.col("id") == F.col("__f"), "left").join(calls, F.col("id") == F.col("__c"), "left")
+    listed = lambda c, kind, **names: F.coalesce(F.transform(c, lambda x: F.struct(*(x[a].alias(b) for b, a in names.items()))), F.array().cast(kind))
+    intra = intra.select("id", listed("fs", "array<struct<name:string,line:int>>", name="name", line="line").alias("funcs"), listed("cs", "array<struct<from:string,to:string,line:int>>", **{"from": "src", "to": "dst", "line": "line"}).alias("calls"))
+    edges = g.edges.select("source", "target", "kind", F.transform("sites", lambda n: F.struct(n.alias("line"))).alias("sites"), "targetPort", F.col("first").alias("__first"))
+    by_line = [F.col("source"), F.col("target"), F.col("kind"), F.col("sites")[0]["line"], F.col("__first")]
+    flat = g.ports.select("kind", "name", "line", "signature", "params", "docstring", "moduleId", F.col("seq").alias("__seq"))
+    notes = g.diagnostics.select("kind", "moduleId", "line", "message", F.col("stage").alias("__stage"), F.col("seq").alias("__seq"))
+    return {
+        "modules": (modules, [paths.component_order(F.col("id"))]), "ports": (flat, [paths.component_order(F.col("moduleId")), F.col("__seq")]), "edges": (edges, by_line),
+        "externalModules": (g.externals.select("id", "name", "kind"), [F.col("id")]), "diagnostics": (notes, [F.col(c) for c in ("moduleId", "line", "__stage", "__seq")]),
+        "intra": (intra, [paths.component_order(F.col("id"))]),
+    }
+
+
 def as_dict(g: Graph) -> dict:
-    """The graph in its published form and order. A graph is a summary of its sources: it fits the driver, or else
-    sinks.write_tables writes it."""
+    """The graph in its published form and order, as one document on the driver. A graph is a summary of its sources and
+    mostly fits; for one that doesn't see sections."""
     port = F.struct("kind", "name", "line", "signature", "params", "docstring")
     by_module = g.ports.groupBy(F.col("moduleId").alias("__m")).agg(F.sort_array(F.collect_list(F.struct("seq", port.alias("p")))).alias("ps"))
     rows = g.modules.join(by_module, F.col("id") == F.col("__m"), "left").orderBy(paths.component_order(F.col("id"))).collect()

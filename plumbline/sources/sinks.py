@@ -27,6 +27,20 @@ def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet
         df.write.mode("overwrite").format(form).save(f"{folder}/{name}")
 
 
+def write_sections(sections: dict[str, tuple[DataFrame, list]], folder: str) -> None:
+    """A document too large for the driver: a folder of JSON lines for each section below folder, in order from file to file,
+    written by the executors. Null fields are left out, and so are columns that start with __, which only order."""
+    for name, (df, order) in sections.items():
+        fields = [c for c in df.columns if not c.startswith("__")]
+        df.orderBy(*order).select(F.to_json(F.struct(*fields)).alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def write_report(status: str, sections: dict[str, DataFrame], folder: str) -> None:
+    """A report of any size: a folder of JSON lines for each section, each line with the report's status."""
+    for name, df in sections.items():
+        df.withColumn("status", F.lit(status)).write.mode("overwrite").json(f"{folder}/{name}")
+
+
 def append_log(events: DataFrame, folder: str, run_id: str, role: str) -> None:
     """Appends events as JSON lines that carry run_id and role."""
     events.withColumns({"run_id": F.lit(run_id), "role": F.lit(role)}).write.mode("append").json(folder)

@@ -159,3 +159,35 @@ def test_stream_keeps_facts(spark, tmp_path):
         (tmp_path / "code" / f"{name}.py").write_text(text)
         watch_graph(spark, str(tmp_path / "code"), f"file://{tmp_path}/store", f"file://{tmp_path}/check", lambda g: seen.append((g.modules.count(), sorted((e.source, e.target) for e in g.edges.collect())))).awaitTermination(120)
     assert seen[0] == (1, [("a.py", "far")]) and seen[1] == (2, [("a.py", "far"), ("b.py", "a.py"), ("b.py", "a.py")]) and seen[2][0] == 3
+
+
+def test_listing_prunes_whole_trees_and_keeps_odd_names(spark, tmp_path):
+    from plumbline.sources.files import listed
+
+    for path in ("a/b/c/deep.py", "a/_private.py", "a/__init__.py", "a b/ü.py", "venv/x/y.py", "a/skip/z.py", "a/notes.txt", "a/b/dir.py/inner.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    (tmp_path / "a" / "round").symlink_to(tmp_path)
+    files = {r["module_id"] for r in source_files(spark, str(tmp_path), {"skip"}).collect()}
+    assert files == {"a/b/c/deep.py", "a/_private.py", "a/__init__.py", "a b/ü.py", "a/b/dir.py/inner.py"}
+    names = {r["name"] for r in listed(spark, str(tmp_path), frozenset({"venv"}), per_task=1).collect()}
+    assert {"dir.py", "notes.txt"} <= names and not {"venv", "x", "y.py", "round"} & names
+
+
+def test_document_by_executors_is_the_document(spark, root, tmp_path):
+    from plumbline.plans.scan import sections
+
+    found = scan_files(source_files(spark, str(root)))
+    whole = as_dict(found)
+    sinks.write_sections(sections(found), f"file://{tmp_path}/graph")
+    read = lambda name: [json.loads(line) for f in sorted((tmp_path / "graph" / name).glob("part-*.txt")) for line in f.read_text().splitlines()]
+    for name in ("modules", "ports", "edges", "externalModules", "diagnostics"):
+        assert read(name) == whole[name]
+    assert {r["id"]: {"funcs": r["funcs"], "calls": r["calls"]} for r in read("intra")} == whole["intra"]
+
+
+def test_files_that_cannot_be_read_end_a_scan(spark, tmp_path):
+    (tmp_path / "a.py").symlink_to(tmp_path / "gone")
+    with pytest.raises(Exception, match="gone|a.py"):
+        source_files(spark, str(tmp_path)).count()
+    assert source_files(spark, str(tmp_path), missing_ok=True).count() == 0
