@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import batches, table, written
 
-#: Notices and headers by which licences are declared, and the first words of licence files.
+#: Files' directories with a licence up to which they are sent to all tasks (some 100 bytes each); else shares of a directory.
+SENT, SHARES = 300_000, 32
+#: Notices and headers by which licences are declared, and first and last words of licence files.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -34,6 +36,14 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 _token = re.compile(r"[a-z]+(?:-[a-z]+)*|[0-9]+(?:\.[0-9]+)*")
@@ -154,9 +164,18 @@ def scan_licenses(files: DataFrame, *keep: str, threshold: float = 0.6, file_sha
     above = F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("at")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("at")))
     )
-    dirs = own.select("dir").where("dir is not null").distinct().select("dir", F.explode(above).alias("up")).select("dir", "up.depth", "up.at")
+    bare = own.where("own_license is null")
+    dirs = bare.select("dir").where("dir is not null").distinct().select("dir", F.explode(above).alias("up")).select("dir", "up.depth", "up.at")
     nearest = dirs.join(declared, "at").groupBy(F.col("dir").alias("of")).agg(F.max(F.struct("depth", "license", "at")).alias("up"))
-    joined = own.join(nearest, F.col("dir") == F.col("of"), "left")
+    # only files that have none look for one; a directory may hold a third of them, so while not all can be sent, they are dealt out
+    nearest = written(nearest, "nearest")
+    if nearest.count() <= SENT:
+        found = bare.join(F.broadcast(nearest), F.col("dir") == F.col("of"), "left")
+    else:
+        copies = nearest.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        found = bare.withColumn("__share", F.pmod(F.xxhash64("path"), F.lit(SHARES)).cast("int")).join(copies, (F.col("dir") == F.col("of")) & (F.col("__share") == F.col("share")), "left")
+    columns = [*own.columns, "up"]
+    joined = found.select(*columns).unionByName(own.where("own_license is not null").withColumn("up", F.lit(None).cast(dict(nearest.dtypes)["up"])))
     mine = F.col("own_license").isNotNull()
     return joined.select(
         *(F.col(k).alias(c) for c, k in zip(keep, held)), "path", "own_license", "own_score", "is_license_file", F.coalesce("own_license", "up.license").alias("license"),
