@@ -94,7 +94,7 @@ def externals(spark, sf_dir):
     return placed(tables(spark, sf_dir, "externals")[0], "id")
 
 
-@query("l4_diagnostics", f"""
+NOTES = f"""
 WITH {CORPUS}, q AS (
   SELECT 'star_import_unresolved' AS kind, m, 1 AS line, '3 unresolved symbol(s) in this module may come from star import of ''shop.n' || n || '.base'' (e.g. ''first_' || k || ''', ''second_' || k || ''', ''third_' || k || '.go''); per-site diagnostics aggregated' AS message, 5 AS stage, 0 AS seq FROM c WHERE v = 0
   UNION ALL SELECT 'dynamic_import', m, 3, 'dynamic import of ''shop.n' || n || '.base''', 2, 0 FROM c WHERE v = 3
@@ -105,7 +105,10 @@ WITH {CORPUS}, q AS (
   UNION ALL SELECT 'star_import_unresolved', m, 2, '2 unresolved symbol(s) in this module may come from star import of ''shop.n' || n || '.base'' (e.g. ''lost_' || k || ''', ''make''); per-site diagnostics aggregated', 5, 1 FROM c WHERE v = 5
   UNION ALL SELECT 'parse_error', m, 1, 'syntax error: invalid syntax', 0, 0 FROM c WHERE v = 6
   UNION ALL SELECT 'unresolved_symbol', m, 13, 'unresolved symbol ''café_' || k || '''', 4, 3 FROM c WHERE v = 7
-  UNION ALL SELECT 'unresolved_symbol', m, 14, 'unresolved symbol ''café_' || k || '''', 4, 1 FROM c WHERE v = 7)
+  UNION ALL SELECT 'unresolved_symbol', m, 14, 'unresolved symbol ''café_' || k || '''', 4, 1 FROM c WHERE v = 7)"""
+
+
+@query("l4_diagnostics", f"""{NOTES}
 SELECT row_number() OVER (ORDER BY m, line, stage, seq) AS place, kind, m AS moduleId, CAST(line AS INTEGER) AS line, message FROM q""")
 def diagnostics(spark, sf_dir):
     return placed(tables(spark, sf_dir, "diagnostics")[0], "moduleId", "line", "stage", "seq").drop("stage", "seq")
