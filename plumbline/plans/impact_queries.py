@@ -1,10 +1,12 @@
-"""Queries of what a change reaches, contracts, and packages, over all customers as modules; and the same results in SQL."""
+"""Queries of what a change reaches, contracts, packages and the diagram, over all customers as modules; and the same results in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts, graph, reach
+from ..operators import contracts, diagram, graph, reach
+from ..sources import sinks
+from ..sources.store import fresh_folder
 from . import bindings as b
 from .registry import query
 
@@ -142,3 +144,35 @@ cut AS (SELECT k AS depth, array_to_string(string_split(source, '/')[1:k], '/')
 SELECT depth, a AS source, b AS target, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n_raw FROM cut WHERE a <> b GROUP BY ALL""")
 def package_rollup(spark, sf_dir):
     return graph.rolled_up(uses(spark, sf_dir)).withColumn("kinds", F.array_join("kinds", ","))
+
+
+ARRANGED = f"""
+WITH RECURSIVE {USES}, {UNITS},
+way AS (SELECT DISTINCT unit, 0 AS layer FROM units WHERE unit NOT IN (SELECT b FROM links) UNION SELECT b, layer + 1 FROM way JOIN links ON a = unit),
+nodes AS (SELECT id, unit, layer FROM units JOIN (SELECT unit, max(layer) AS layer FROM way GROUP BY unit) USING (unit)),
+into_ AS (SELECT DISTINCT source, v.unit FROM refers JOIN units u ON source = u.id JOIN units v ON target = v.id WHERE u.unit <> v.unit),
+arranged AS (
+  SELECT id, unit, layer, row_number() OVER (ORDER BY unit, id) AS place FROM nodes WHERE layer = 0
+  UNION ALL
+  SELECT id, unit, layer, row_number() OVER (ORDER BY mean, unit, id)
+  FROM (SELECT n.id, n.unit, n.layer, avg(p.place) AS mean FROM arranged p JOIN into_ i ON i.source = p.id JOIN nodes n ON n.unit = i.unit AND n.layer = p.layer + 1 GROUP BY n.id, n.unit, n.layer))"""
+
+
+def _arranged(spark, sf_dir):
+    return diagram.arranged(sites(spark, sf_dir).select(F.col("path").alias("id")), uses(spark, sf_dir))
+
+
+@query("k5_layers", f"{ARRANGED} SELECT id, unit, layer, CAST(place AS BIGINT) AS place FROM arranged")
+def k5_layers(spark, sf_dir):
+    return _arranged(spark, sf_dir)
+
+
+@query("k5_drawing", f"""{ARRANGED}, spots AS (SELECT *, (place - 1) * 180 + 20 AS x, layer * 100 + 20 AS y FROM arranged)
+SELECT '<svg xmlns="http://www.w3.org/2000/svg" width="' || (max(place) * 180 + 20) || '" height="' || ((max(layer) + 1) * 100 + 20) || '">' AS text FROM spots UNION ALL SELECT '</svg>'
+UNION ALL SELECT '<path class="edge" d="M' || (a.x + 80) || ' ' || (a.y + 40) || ' L' || (b.x + 80) || ' ' || b.y || '"/>' FROM (SELECT DISTINCT source, target FROM refers WHERE source <> target) JOIN spots a ON source = a.id JOIN spots b ON target = b.id
+UNION ALL SELECT '<g class="node"><rect x="' || x || '" y="' || y || '" width="160" height="40"/><text x="' || (x + 80) || '" y="' || (y + 20) || '">' || id || '</text></g>' FROM spots""")
+def k5_drawing(spark, sf_dir):
+    """The drawing, written in its order by the executors and read again."""
+    folder = fresh_folder(spark, "drawing")
+    sinks.write_drawing(diagram.drawn(_arranged(spark, sf_dir), uses(spark, sf_dir)), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "text")

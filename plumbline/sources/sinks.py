@@ -35,6 +35,11 @@ def write_sections(sections: dict[str, tuple[DataFrame, list]], folder: str) ->
         df.orderBy(*order).select(F.to_json(F.struct(*fields)).alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
 
 
+def write_drawing(rows: DataFrame, folder: str) -> None:
+    """The rows of a drawing (operators/diagram.drawn) as text in their order, from file to file."""
+    rows.orderBy(*(c for c in rows.columns if c != "text")).select("text").write.mode("overwrite").text(folder)
+
+
 def write_report(status: str, sections: dict[str, DataFrame], folder: str) -> None:
     """A report of any size: a folder of JSON lines for each section, each line with the report's status."""
     for name, df in sections.items():
