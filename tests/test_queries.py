@@ -1,5 +1,7 @@
 """Every query of the engine against its SQL in DuckDB."""
 
+from functools import cache
+
 import duckdb
 import pytest
 
@@ -18,6 +20,32 @@ def con():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_scan_each():
+    """Many queries scan the same files: here each scan is made once, and its tables are kept for the other queries."""
+    from dataclasses import replace
+
+    from plumbline.plans import baseline_queries, corpus_queries, queries, resolution_queries, scan
+    from plumbline.sources.store import settled
+
+    made = {}
+
+    def scanned(files, **how):
+        key = (files.semanticHash(), tuple(how.items()))
+        if key not in made:
+            found = scan.scan_files(files, **how)
+            made[key] = replace(found, **{k: settled(v) for k, v in found.tables().items()}, kept=[])
+            found.release()
+        return made[key]
+
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (baseline_queries, corpus_queries, queries, resolution_queries):
+            patch.setattr(module, "scan_files", scanned)
+        for module, name in ((corpus_queries, "_document"), (resolution_queries, "_grown")):
+            patch.setattr(module, name, cache(getattr(module, name)))
+        yield
+
+
 def rows(columns, found):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted([tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in found], key=repr)
