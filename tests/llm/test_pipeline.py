@@ -90,4 +90,4 @@ def test_registered():
     import __spark_entry__
 
     assert len(pipeline.STAGES) == 5 and "pipeline" in __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
