@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, table, written
 
-#: Files' directories with a licence up to which they are sent to all tasks (some 100 bytes each); else shares of a directory.
-SENT, SHARES = 300_000, 32
+#: Directories up to which they are sent to all tasks (some 140 bytes each); beyond, only those with one in CROWDED of the files.
+SENT, CROWDED = 300_000, 10_000
 #: Notices and headers by which licences are declared, and first and last words of licence files.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -167,13 +167,16 @@ def scan_licenses(files: DataFrame, *keep: str, threshold: float = 0.6, file_sha
     bare = own.where("own_license is null")
     dirs = bare.select("dir").where("dir is not null").distinct().select("dir", F.explode(above).alias("up")).select("dir", "up.depth", "up.at")
     nearest = dirs.join(declared, "at").groupBy(F.col("dir").alias("of")).agg(F.max(F.struct("depth", "license", "at")).alias("up"))
-    # only files that have none look for one; a directory may hold a third of them, so while not all can be sent, they are dealt out
+    # only files that have none look for one. A directory may hold a third of them: while not all directories can be sent, the
+    # crowded ones are, at most CROWDED, so that no join gathers the files of one
     nearest = written(nearest, "nearest")
     if nearest.count() <= SENT:
         found = bare.join(F.broadcast(nearest), F.col("dir") == F.col("of"), "left")
     else:
-        copies = nearest.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        found = bare.withColumn("__share", F.pmod(F.xxhash64("path"), F.lit(SHARES)).cast("int")).join(copies, (F.col("dir") == F.col("of")) & (F.col("__share") == F.col("share")), "left")
+        crowded = written(bare.groupBy(F.col("dir").alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * CROWDED >= bare.count()).select("c"), "crowded")
+        hot, rest = (bare.join(F.broadcast(crowded), F.col("dir") == F.col("c"), how) for how in ("left_semi", "left_anti"))
+        sent = nearest.join(F.broadcast(crowded), F.col("of") == F.col("c"), "left_semi")
+        found = hot.join(F.broadcast(sent), F.col("dir") == F.col("of"), "left").unionByName(rest.join(nearest, F.col("dir") == F.col("of"), "left"))
     columns = [*own.columns, "up"]
     joined = found.select(*columns).unionByName(own.where("own_license is not null").withColumn("up", F.lit(None).cast(dict(nearest.dtypes)["up"])))
     mine = F.col("own_license").isNotNull()
