@@ -143,19 +143,21 @@ def training_sample(docs: DataFrame, per_lang: int, langs: int, chars: int) -> t
     """Whole texts and their langs to learn from, of the `langs` most frequent ones (ties: the first names).
 
     A lang gives at most per_lang documents, and of them no more than have chars characters together, one at least: those
-    of the smallest hashes of doc_id among its rows with text that are not held out. First the langs are counted, then
+    of the smallest hashes of doc_id and text among its rows with text that are not held out; repeated rows are one. First
+    the langs are counted (distinct hashes, so that a few texts repeated very often don't raise the threshold's base), then
     lengths alone are ranked below a hash threshold, then the texts chosen come to the driver: langs * chars characters
     at most, but for a document that alone is longer.
     """
     known = docs.where("lang is not null and length(text) > 0").where(~held_out())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
+    u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
+    # repeated rows share a hash, so it is hashes that are counted (to some 2 percent) and ranked
+    counts = {r[0]: r[1] for r in known.groupBy("lang").agg(F.approx_count_distinct(u, 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
     if not counts:
         return [], []
-    u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
     bounds = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.5 * per_lang / n) * (1 << 30))) for k, n in counts.items()], "l string, bound long")
     rows = known.select("lang", "doc_id", "text", u.alias("u")).join(F.broadcast(bounds), F.col("lang") == F.col("l")).where("u < bound").drop("l", "bound")
-    order = Window.partitionBy("lang").orderBy("u", "doc_id")
-    ranked = rows.select("lang", "doc_id", "u", F.length("text").alias("n")).withColumns({"k": F.row_number().over(order), "held": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    order = Window.partitionBy("lang").orderBy("u")
+    ranked = rows.groupBy("lang", "u").agg(F.max(F.length("text")).alias("n")).withColumns({"k": F.row_number().over(order), "held": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     last = ranked.where((F.col("k") == 1) | ((F.col("k") <= per_lang) & (F.col("held") <= chars))).groupBy("lang").agg(F.max("u").alias("last"))
     chosen = rows.join(F.broadcast(last.withColumnRenamed("lang", "l")), (F.col("lang") == F.col("l")) & (F.col("u") <= F.col("last"))).dropDuplicates(["lang", "u"])
     found = sorted((r["lang"], r["u"], r["text"]) for r in chosen.select("lang", "u", "text").collect() if has_letter(r["text"]))

@@ -1,5 +1,7 @@
 """Every query opN_ over small tables of odd rows and over empty ones; against its SQL where it has one."""
 
+import zlib
+
 import duckdb
 import pytest
 
@@ -65,3 +67,17 @@ def test_many_langs_go_by_a_join(spark, folders, monkeypatch):
     few = sorted(map(tuple, quality.quality_rules(docs).collect()), key=repr)
     monkeypatch.setattr(quality, "MAX_LANGS", 1)
     assert sorted(map(tuple, quality.quality_rules(docs).collect()), key=repr) == few
+
+
+def test_languages_of_few_texts_repeated_often_are_learnt(spark):
+    """Two texts of a language, thousands of times each, are two texts: neither is left out, neither crowds out the other."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import language_id
+
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    few = spark.range(9000).select(F.element_at(F.array(*map(F.lit, ids)), (F.col("id") % 2 + 1).cast("int")).alias("doc_id")).withColumns({"text": F.concat(F.lit("few words "), F.col("doc_id")), "lang": F.lit("xx")})
+    many = spark.range(100, 3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plenty "), F.col("id")).alias("text"), F.lit("yy").alias("lang"))
+    texts, langs = language_id.training_sample(few.select("doc_id", "text", "lang").unionByName(many), 50, 5, 100_000)
+    assert sorted(t for t, k in zip(texts, langs) if k == "xx") == sorted(f"few words {i}" for i in ids)
+    assert langs.count("yy") == 50
