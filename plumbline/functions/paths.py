@@ -6,10 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Files of ECMAScript and TypeScript; their dotted names start with es: so that they are never a Python module's.
+ES_FILE = r"\.(m?js|jsx|m?ts|tsx)$"
+
+
 def dotted(path: Column) -> Column:
-    """pkg/core.py -> pkg.core, pkg/__init__.py -> pkg; '' for an __init__.py of the root."""
+    """pkg/core.py -> pkg.core, pkg/__init__.py -> pkg; '' for an __init__.py of the root. web/app.ts -> es:web.app,
+    web/index.ts -> es:web."""
     stem = F.when(path.endswith("__init__.py"), F.rtrim(F.regexp_replace(path, r"__init__\.py$", ""), F.lit("/"))).otherwise(F.regexp_replace(path, r"\.py$", ""))
-    return F.translate(stem, "/", ".")
+    es = F.concat(F.lit("es:"), F.translate(F.regexp_replace(F.regexp_replace(path, ES_FILE, ""), "(^|/)index$", ""), "/", "."))
+    return F.when(path.rlike(ES_FILE), es).otherwise(F.translate(stem, "/", "."))
 
 
 def directory(path: Column) -> Column:

@@ -51,11 +51,11 @@ def _with_port(df: DataFrame, names: DataFrame, module: str, name: str, to: str)
 
 
 def located_imports(facts: DataFrame, index: DataFrame) -> DataFrame:
-    """Import rows with target (the dotted module that is meant) and sub (the submodule that the name may be)."""
+    """Import rows with target (the dotted module that is meant) and sub (the submodule that the name may be, in Python)."""
     rows = facts.where("fact = 'import'").select("module_id", "seq", "line", "kind", "module", "level", "name", "alias")
     base = paths.directory(F.col("module_id"))
     target = F.when(F.col("kind") == "import", F.col("name")).otherwise(paths.absolute(F.col("module"), F.col("level"), base))
-    rows = rows.withColumn("target", target).withColumn("sub", F.when(F.col("kind") == "from_import", paths.joined(F.col("target"), F.col("name"))))
+    rows = rows.withColumn("target", target).withColumn("sub", F.when((F.col("kind") == "from_import") & ~F.col("target").startswith("es:"), paths.joined(F.col("target"), F.col("name"))))
     return _exact(rows, "sub", index, "sub_at")
 
 

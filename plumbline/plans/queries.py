@@ -10,7 +10,7 @@ from ..functions.names import NOISE
 from ..operators import digest, findings, graph, grouping, layout, resolve
 from ..sources.store import settled
 from . import bindings as b
-from . import baseline_queries, corpus_queries, impact_queries, resolution_queries, scope_queries, shape_queries  # noqa: F401  register their own
+from . import baseline_queries, corpus_queries, impact_queries, language_queries, resolution_queries, scope_queries, shape_queries  # noqa: F401  register their own
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .scan import scan_files
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.names import BUILTINS, STDLIB
+from ..functions.frontends import all_facts, readable
 from ..functions.pyfacts import py_facts
 from ..operators import graph, resolve, stars
 from ..sources.files import source_files
@@ -40,9 +41,12 @@ class Graph:
             df.unpersist()
 
 
-def scan_files(files: DataFrame, **how) -> Graph:
-    """The graph of a frame (module_id, content). Each source is parsed once; all else is joins and aggregates (scan_facts)."""
-    return scan_facts(py_facts(files), files.select("module_id"), **how)
+def scan_files(files: DataFrame, *, front_ends: dict | None = None, **how) -> Graph:
+    """The graph of a frame (module_id, content). Each source is parsed once; all else is joins and aggregates (scan_facts).
+    All files are Python unless front_ends (functions/frontends.py) tell what reads which."""
+    if front_ends is None:
+        return scan_facts(py_facts(files), files.select("module_id"), **how)
+    return scan_facts(all_facts(files, front_ends), readable(files, front_ends).select("module_id"), **how)
 
 
 def scan_facts(stated: DataFrame, files: DataFrame, *, stdlib: tuple[str, ...] = STDLIB, builtins: tuple[str, ...] = BUILTINS, by_root: bool = False, expand_stars: bool = False) -> Graph:
@@ -88,8 +92,9 @@ def graph_of(facts: DataFrame, imports: DataFrame, resolved: DataFrame, kept: li
 
 
 def scan_codebase(spark: SparkSession, root: str, exclude_dirs: set[str] | None = None, **how) -> dict:
-    """The graph of the Python files below root as a dict of six keys, ready for JSON."""
-    found = scan_files(source_files(spark, root, exclude_dirs), **how)
+    """The graph of the Python files below root, or of those of all front_ends, as a dict of six keys, ready for JSON."""
+    suffixes = tuple(how["front_ends"]) if how.get("front_ends") else (".py",)
+    found = scan_files(source_files(spark, root, exclude_dirs, suffixes=suffixes), **how)
     try:
         return as_dict(found)
     finally:

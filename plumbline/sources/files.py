@@ -59,8 +59,8 @@ def listed(spark: SparkSession, root: str, pruned: frozenset[str], *, per_task:
     return spark.read.schema(schema).parquet(*(f"{at}/{k}" for k in range(level)))
 
 
-def source_files(spark: SparkSession, root: str, exclude_dirs: set[str] | None = None, *, missing_ok: bool = False, per_task: int = 500) -> DataFrame:
-    """All *.py files below root, but for those with a path component in PRUNED or exclude_dirs.
+def source_files(spark: SparkSession, root: str, exclude_dirs: set[str] | None = None, *, missing_ok: bool = False, per_task: int = 500, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+    """All *.py files (or those of other suffixes) below root, but for those with a path component in PRUNED or exclude_dirs.
 
     module_id is the path below root with / separators. Executors list the folders (Spark's own file sources leave out
     names with a leading underscore, so __init__.py too) and read the contents, some per_task files each, through Arrow's
@@ -70,7 +70,7 @@ def source_files(spark: SparkSession, root: str, exclude_dirs: set[str] | None =
     pruned = frozenset({*PRUNED, *(exclude_dirs or ())})
     root = root.rstrip("/") if "://" in root else os.path.realpath(root)
     base = _store(root)[1].rstrip("/")
-    names = listed(spark, root, pruned, missing_ok=missing_ok).where("not folder and endswith(name, '.py')")
+    names = listed(spark, root, pruned, missing_ok=missing_ok).where(~F.col("folder") & F.array_contains(F.transform(F.array(*map(F.lit, suffixes)), lambda s: F.endswith("name", s)), True))
     names = names.select(F.substring("path", len(base) + 2, 1 << 20).alias("module_id"), "path")
     names = names.repartition(max(1, names.count() // per_task))
 
