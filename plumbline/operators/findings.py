@@ -94,12 +94,50 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _in_rounds(edges: DataFrame) -> DataFrame:
+def _rings(edges: DataFrame) -> DataFrame:
+    """(component, id) of the cycles whose nodes have no other edge out; component is the smallest member.
+
+    Where a node has one edge out, ways are told by pointers, which are doubled each round: only nodes that some pointer
+    leads to go on, so a round takes off twice the length that the last one did from all ways into cycles, and what is
+    left shrinks as fast. When no node goes, all are on cycles. Their smallest members come about by doubling, too.
+    """
+    alone = edges.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")).where("n = 1").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    first = step = settled(alone)
+    left = step.count()
+    while left:
+        met = step.select(F.col("b").alias("__i")).distinct()
+        step = settled(step.join(met, F.col("a") == F.col("__i"), "left_semi").join(step.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("b") == F.col("__a")).select("a", F.col("__b").alias("b")))
+        before, left = left, step.count()
+        if left == before:
+            break
+    ring = settled(first.join(step.select(F.col("a").alias("__a")), F.col("a") == F.col("__a"), "left_semi").select("a", "b", F.least("a", "b").alias("low"), F.lit(True).alias("moved")))
+    # low: the smallest of the nodes from a up to b, which is twice as far each round
+    while not ring.where("moved").isEmpty():
+        on = ring.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("low").alias("__low"))
+        ring = settled(ring.join(on, F.col("b") == F.col("__a")).select("a", F.col("__b").alias("b"), F.least("low", "__low").alias("low"), (F.col("__low") < F.col("low")).alias("moved")))
+    return ring.select(F.col("low").alias("component"), F.col("a").alias("id"))
+
+
+def _in_rounds(edges: DataFrame, small: int) -> DataFrame:
+    """Cycles that no edge leaves are found first. If a node has more edges out than one, the graph without them goes on: to
+    one task, where it has become small, or to rounds of colours."""
+    rings = settled(_rings(edges))
+    if edges.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rings
+    known = rings.select(F.col("id").alias("__r"))
+    rest = _trimmed(settled(edges.join(known, F.col("source") == F.col("__r"), "left_anti").join(known, F.col("target") == F.col("__r"), "left_anti")))
+    return rings.unionByName(_in_one_task(rest) if rest.limit(small + 1).count() <= small else _coloured(rest))
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_one_task, "component string, id string")
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
     """Each round colours a node by the first node that reaches it, in an order by hash that each round has anew; those of
     a colour that reach its first node are a component. What is left goes on to the next round, without the edges between
     colours. By the random order colours cut paths as quicksort cuts a list: a chain of n nodes takes about log n rounds."""
     done, turn = None, 0
-    edges = _trimmed(edges)
     while not edges.isEmpty():
         nodes = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
         label = lambda m, turn=turn: F.struct(m.alias("m"), F.xxhash64(F.lit(turn), "id").alias("rank"), F.col("id").alias("node")).alias("label")
@@ -128,8 +166,8 @@ def strong_components(pairs: DataFrame, small: int = SMALL) -> DataFrame:
     """
     edges = inner(pairs).select("source", "target").distinct()
     if edges.limit(small + 1).count() <= small:
-        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_one_task, "component string, id string")
-    return _in_rounds(settled(edges))
+        return _in_one_task(edges)
+    return _in_rounds(settled(edges), small)
 
 
 def cycle_edges(pairs: DataFrame, components: DataFrame) -> DataFrame:
