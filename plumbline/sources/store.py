@@ -49,3 +49,11 @@ def settled(df: DataFrame) -> DataFrame:
     at = fresh_folder(df.sparkSession, "settled")
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """files (module_id, ...) dealt out by module, in as many parts as the session shuffles into: one small Parquet file may
+    hold a million sources, which a single task would parse one after the other."""
+    spark = files.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return files.repartition(parts, "module_id")
