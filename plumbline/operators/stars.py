@@ -31,21 +31,26 @@ def public_names(facts: DataFrame, imports: DataFrame, index: DataFrame) -> Data
     """(module_id, name): all names that a star import of a module brings.
 
     What a module hands on by itself goes on to those that star-import it and have no __all__ of their own, and from there
-    further. Only what was new in the last round is passed on, and of it only what the importer doesn't have yet; so modules
-    that import each other in a circle end as soon as nothing is new, and there are as many rounds as the longest chain of
-    star imports has links. Each round's names are written.
+    further. Where no module has two such imports, ways are told by pointers: before round k all names from less than 2 ** k
+    imports away are known, each module takes those of the one 2 ** k imports on, and pointers are doubled; so there are as
+    many rounds as the logarithm of the longest chain. Else only what was new in the last round is passed on, by one import a
+    round. Either way, what a module has already is left out, and modules that import each other in a circle end as soon as
+    nothing is new. Each round's names are written.
     """
     listed, own = own_names(facts, imports)
     edges = star_imports(imports, index).select("module_id", "at").distinct().join(listed.select(F.col("module_id").alias("__m")), F.col("module_id") == F.col("__m"), "left_anti")
-    edges = settled(edges.select(F.col("module_id").alias("to"), F.col("at").alias("of")))
+    step = settled(edges.select(F.col("module_id").alias("to"), F.col("at").alias("of")))
+    single = step.groupBy("to").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     known = new = settled(own)
     while True:
-        passed = edges.join(new, F.col("of") == F.col("module_id")).where(~F.col("name").startswith("_")).select(F.col("to").alias("module_id"), "name").distinct()
+        passed = step.join(known if single else new, F.col("of") == F.col("module_id")).where(~F.col("name").startswith("_")).select(F.col("to").alias("module_id"), "name").distinct()
         had = known.select(F.col("module_id").alias("__m"), F.col("name").alias("__n"))
         new = settled(passed.join(had, (F.col("module_id") == F.col("__m")) & (F.col("name") == F.col("__n")), "left_anti"))
         if new.isEmpty():
             return known
         known = known.unionByName(new)
+        if single:
+            step = settled(step.join(step.select(F.col("to").alias("__to"), F.col("of").alias("__of")), F.col("of") == F.col("__to")).select("to", F.col("__of").alias("of")))
 
 
 def star_bindings(facts: DataFrame, imports: DataFrame, index: DataFrame) -> DataFrame:

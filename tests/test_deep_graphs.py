@@ -4,8 +4,10 @@ import random
 
 import pytest
 
-from plumbline.operators import contracts, diagram, findings, reach
+from plumbline.functions.pyfacts import py_facts
+from plumbline.operators import contracts, diagram, findings, reach, resolve, stars
 from plumbline.operators.findings import _one_task
+from plumbline.sources.store import settled
 
 
 def jobs(spark, work):
@@ -68,3 +70,14 @@ def test_layers_by_rounds_and_by_one_task(spark, seed):
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(40)], "id string")
     by = lambda small: sorted(map(tuple, diagram.arranged(nodes, df, small=small).collect()))
     assert by(0) == by(20) == by(10**6)
+
+
+def test_long_chains_of_star_imports(spark):
+    files = [("m000.py", "def name_000():\n    pass\n")] + [(f"m{i:03}.py", f"from m{i - 1:03} import *\ndef name_{i:03}():\n    pass\n") for i in range(1, 40)]
+    files += [("a.py", "from b import *\nx = 1\n"), ("b.py", "from a import *\ny = 1\n")]
+    df = spark.createDataFrame(files, "module_id string, content string")
+    facts, index = settled(py_facts(df)), resolve.module_index(df)
+    imports = settled(resolve.located_imports(facts, index))
+    found, n = jobs(spark, lambda: {tuple(r) for r in stars.public_names(facts, imports, index).collect()})
+    assert found == {(f"m{i:03}.py", f"name_{k:03}") for i in range(40) for k in range(i + 1)} | {(m, x) for m in ("a.py", "b.py") for x in "xy"}
+    assert n < 100
