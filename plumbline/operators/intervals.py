@@ -33,10 +33,10 @@ def holding(points: DataFrame, spans: DataFrame, on: list[str], at: str, start:
     A span becomes its dyadic blocks, a point a row for each level that any span uses (at most the logarithm of the longest
     span: the one number that is read first). They meet by equality of `on`, level and block, once a pair, so that the rows
     made are the result's, and a key with very many spans is dealt out by its blocks. Read spans from a table, since they are
-    read twice.
+    read twice. They are joined by sorting, as blocks take far more memory than the file that they are read from.
     """
     longest = spans.agg(F.max(F.col(stop).cast("long") - F.col(start).cast("long") + 1)).first()[0] or 1
     top = max(0, int(longest).bit_length() - 1)
     blocks = spans.withColumn("__b", F.explode(dyadic(F.col(start), F.col(stop)))).withColumns({"__level": F.col("__b.level"), "__block": F.col("__b.block")}).drop("__b")
     dealt = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("__block", _right(F.col(at).cast("long"), F.col("__level")))
-    return dealt.join(blocks, [*on, "__level", "__block"]).drop("__level", "__block")
+    return dealt.join(blocks.hint("merge"), [*on, "__level", "__block"]).drop("__level", "__block")

@@ -77,3 +77,10 @@ def test_blocks_are_few_and_cover_once(spark):
         parts = sorted((x["block"] << x["level"], (x["block"] + 1 << x["level"]) - 1) for x in d)
         assert parts[0][0] == a and parts[-1][1] == b and all(x[1] + 1 == y[0] for x, y in zip(parts, parts[1:]))
         assert len(d) <= 2 * (b - a + 1).bit_length()
+
+
+def test_nothing_is_sent_through_the_driver(spark):
+    rows = settled(py_scopes(spark.createDataFrame([(f"m{i}.py", "def f(a):\n    return g(a)\ndef g(b):\n    return b\n") for i in range(50)], "module_id string, content string")))
+    found = scope_calls(rows)
+    assert {tuple(r)[1:] for r in found.collect()} == {("f", "g", 2)} and found.count() == 50
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
