@@ -80,14 +80,27 @@ def resolved_rows(facts: DataFrame, imports: DataFrame, index: DataFrame, names:
     return found.unionByName(resolve.resolve_references(facts, resolve.symbol_table(imports, extra), index, names, stdlib, builtins, by_root=by_root))
 
 
+#: Tables that facts of one kind state, without any resolution.
+STATED = {"modules": "module", "ports": "port", "funcs": "func", "calls": "call"}
+
+
+def stated_table(facts: DataFrame, name: str) -> DataFrame:
+    """One of the tables of STATED, from the facts of its kind."""
+    own = facts.where(F.col("fact") == STATED[name])
+    if name == "modules":
+        return own.select(F.col("module_id").alias("id"), F.col("module_id").alias("path"))
+    if name == "ports":
+        return own.select(F.col("module_id").alias("moduleId"), "seq", "kind", "name", "line", "signature", "params", "docstring")
+    return own.select("module_id", *(("seq", "name", "line") if name == "funcs" else ("src", "dst", "line")))
+
+
 def graph_of(facts: DataFrame, imports: DataFrame, resolved: DataFrame, kept: list[DataFrame]) -> Graph:
     """The graph's tables from facts, their located imports and resolved rows."""
-    modules = facts.where("fact = 'module'").select(F.col("module_id").alias("id"), F.col("module_id").alias("path"))
-    ports = facts.where("fact = 'port'").select(F.col("module_id").alias("moduleId"), "seq", "kind", "name", "line", "signature", "params", "docstring")
+    modules, ports, funcs, calls = (stated_table(facts, name) for name in STATED)
     raw = resolved.where("edge_target is not null").select(F.col("module_id").alias("source"), F.col("edge_target").alias("target"), F.col("edge_port").alias("targetPort"), "kind", "line", "stage", "seq")
     return Graph(
         modules, ports, graph.merge_edges(raw), graph.distinct_externals(resolved, "external"), resolve.diagnostics(facts, imports, resolved),
-        facts.where("fact = 'func'").select("module_id", "seq", "name", "line"), facts.where("fact = 'call'").select("module_id", "src", "dst", "line"), facts, kept,
+        funcs, calls, facts, kept,
     )
 
 

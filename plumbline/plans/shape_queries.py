@@ -42,7 +42,7 @@ SELECT m AS module_id, replace(src, '#', k) AS src, replace(dst, '#', k) AS dst,
   (4, 'made_#', 'base_#', 11), (4, 'uses', 'wraps_#', 14), (4, 'uses', 'made_#', 14),
   (5, 'Holder_#', 'start_#', 5), (5, 'Holder_#', 'start_#', 7), (5, 'Holder_#', 'start_#', 8), (5, '<module>', 'start_#', 10), (5, '<module>', 'start_#', 11), (5, 'cond_#', 'Holder_#', 12)) x(kind, src, dst, line) ON v = kind""")
 def shape_calls(spark, sf_dir):
-    return py_facts(shapes(spark, sf_dir)).where("fact = 'call'").select("module_id", "src", "dst", "line")
+    return py_facts(shapes(spark, sf_dir), "call").select("module_id", "src", "dst", "line")
 
 
 @query("shape_nodes", f"""{OF}
@@ -51,7 +51,7 @@ SELECT m AS module_id, seq, replace(name, '#', k) AS name, line FROM c JOIN (VAL
   (2, 0, 'go_#', 1), (2, 1, 'after', 9), (2, 2, '<module>', 0), (3, 0, 'Beta_#', 3), (3, 1, 'alpha_#', 6), (3, 2, 'later_#', 10),
   (4, 0, 'base_#', 1), (4, 1, 'wraps_#', 4), (4, 2, 'made_#', 8), (4, 3, 'uses', 13), (5, 0, 'start_#', 1), (5, 1, 'Holder_#', 4), (5, 2, 'cond_#', 11), (5, 3, '<module>', 0)) x(kind, seq, name, line) ON v = kind""")
 def shape_nodes(spark, sf_dir):
-    return py_facts(shapes(spark, sf_dir)).where("fact = 'func'").select("module_id", "seq", "name", "line")
+    return py_facts(shapes(spark, sf_dir), "func").select("module_id", "seq", "name", "line")
 
 
 @query("shape_ports", f"""{OF}
@@ -65,5 +65,5 @@ SELECT m AS module_id, seq, kind, replace(name, '#', k) AS name, line, replace(s
   (4, 0, 'function', 'base_#', 1, '()', '', NULL), (4, 1, 'function', 'wraps_#', 4, '(f)', 'f', NULL), (4, 2, 'function', 'made_#', 8, '()', '', NULL), (4, 3, 'function', 'uses', 13, '(**kw)', 'kw', NULL),
   (5, 0, 'function', 'start_#', 1, '()', '', NULL), (5, 1, 'class', 'Holder_#', 4, 'Holder_#', '', NULL)) x(own, seq, kind, name, line, signature, params, docstring) ON v = own""")
 def shape_ports(spark, sf_dir):
-    rows = py_facts(shapes(spark, sf_dir)).where("fact = 'port'")
+    rows = py_facts(shapes(spark, sf_dir), "port")
     return rows.select("module_id", "seq", "kind", "name", "line", "signature", F.array_join("params", ",").alias("params"), "docstring")

@@ -100,3 +100,33 @@ def test_functions_and_repeats():
     assert of(source, "duplicate_def", "line", "message") == [(3, "duplicate module-level def 'b'; intra graph keeps the first definition (line 1)")]
     twice = "try: pass\nexcept A:\n    def f(): pass\nexcept B:\n    def f(): pass\n"
     assert of(twice, "duplicate_def", "line") == [5] and of(twice, "func", "name") == []
+
+
+def test_a_tree_is_gone_through_once():
+    """A function inside many others is not walked again for each of them."""
+    import ast
+
+    from plumbline.functions.pyfacts import Tree
+
+    depth = 60
+    text = "".join(f"{' ' * i}def f{i}(a{i}):\n" for i in range(depth)) + " " * depth + "x = 1\n"
+    tree = Tree(ast.parse(text))
+    seen = []
+
+    class Below(dict):
+        def __getitem__(self, node):
+            seen.append(node)
+            return dict.__getitem__(self, node)
+
+    tree.below = Below(tree.below)
+    assert tree.bound(tree.root) == {"x"} | {f"a{i}" for i in range(depth)}
+    assert len(seen) <= len(tree.nodes)
+    assert set(tree.nodes) == {n for n in ast.walk(tree.root) if not isinstance(n, ast.expr_context)}
+
+
+def test_facts_of_some_kinds_are_those_of_all():
+    text = "import os\n__all__ = ['a']\ndef a(x: int):\n    return b(x)\ndef b(y):\n    z = __import__('q')\ndef b():\n    pass\na(1)\n"
+    every = list(facts("m", text))
+    for kind in {f["fact"] for f in every}:
+        assert list(facts("m", text, frozenset([kind]))) == [f for f in every if f["fact"] == kind]
+    assert list(facts("m", "def (", frozenset(["port"]))) == [] and len(list(facts("m", "def (", frozenset(["parse_error"])))) == 1
