@@ -82,6 +82,9 @@ def resolved_rows(facts: DataFrame, imports: DataFrame, index: DataFrame, names:
 
 #: Tables that facts of one kind state, without any resolution.
 STATED = {"modules": "module", "ports": "port", "funcs": "func", "calls": "call"}
+#: The kinds of facts that resolution reads, and those that diagnostics add.
+RESOLVING = ("port", "import", "reference", "local", "def")
+TOLD = ("parse_error", "duplicate_def", "dynamic_import")
 
 
 def stated_table(facts: DataFrame, name: str) -> DataFrame:

@@ -13,3 +13,13 @@ def test_one_partition_is_dealt_out(spark, read, suffix):
     assert files.rdd.getNumPartitions() == 1
     parts = read(files).rdd.mapPartitions(lambda rows: [len({r["module_id"] for r in rows})]).collect()
     assert sum(parts) == 100 and sum(n > 0 for n in parts) > 1 and max(parts) < 60
+
+
+def test_a_section_is_written_by_itself(spark):
+    """A query of one section of the document makes no other."""
+    from plumbline.plans import corpus_queries
+
+    spark.read.text(at := corpus_queries._document(spark, "/root/testdata/sf0.001", "intra") + "/intra").count()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at.removesuffix("/intra"))
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    assert [s.getPath().getName() for s in found] == ["intra"]
