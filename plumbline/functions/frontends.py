@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .esfacts import SUFFIXES, es_facts
 from .pyfacts import COLUMNS, SCHEMA, py_facts
 
-FrontEnd = Callable[[DataFrame], DataFrame]
-#: A further language is one more entry: a suffix, and a function from (module_id, content) to facts.
+FrontEnd = Callable[..., DataFrame]
+#: A further language is one more entry: a suffix, and a function from (module_id, content), and kinds if asked for, to facts.
 FRONT_ENDS: dict[str, FrontEnd] = {".py": py_facts, **dict.fromkeys(SUFFIXES, es_facts)}
 
 
@@ -25,9 +25,10 @@ def readable(files: DataFrame, front_ends: Mapping[str, FrontEnd] = FRONT_ENDS)
     return files.where(_ends(F.col("module_id"), list(front_ends)))
 
 
-def all_facts(files: DataFrame, front_ends: Mapping[str, FrontEnd] = FRONT_ENDS) -> DataFrame:
-    """The facts of files (module_id, content) in several languages, each read by the front end of its suffix. A file without
-    one is no module and gives a parse_error that says so: what can't be read is listed, and the rest is scanned."""
+def all_facts(files: DataFrame, front_ends: Mapping[str, FrontEnd] = FRONT_ENDS, *kinds: str) -> DataFrame:
+    """The facts of files (module_id, content) in several languages, of all kinds or of those named, each read by the front end
+    of its suffix. A file without one is no module and gives a parse_error that says so: what can't be read is listed, and the
+    rest is scanned."""
     by_reader: dict[FrontEnd, list[str]] = {}
     for suffix, reader in front_ends.items():
         by_reader.setdefault(reader, []).append(suffix)
@@ -37,6 +38,7 @@ def all_facts(files: DataFrame, front_ends: Mapping[str, FrontEnd] = FRONT_ENDS)
     values = {"module_id": path, "fact": F.lit("parse_error"), "line": F.lit(0), "message": message}
     types = dict(c.strip().split() for c in SCHEMA.split(", "))
     out = files.where(~_ends(path, list(front_ends))).select(*(values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in COLUMNS))
+    out = out if not kinds or "parse_error" in kinds else out.limit(0)
     for reader, suffixes in by_reader.items():
-        out = out.unionByName(reader(files.where(_ends(path, suffixes))))
+        out = out.unionByName(reader(files.where(_ends(path, suffixes)), *kinds))
     return out

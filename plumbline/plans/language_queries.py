@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.frontends import FRONT_ENDS
+from ..functions.frontends import FRONT_ENDS, all_facts, readable
 from ..sources.store import settled
 from . import bindings as b
 from .registry import query
-from .scan import scan_files
+from .scan import RESOLVING, STATED, TOLD, scan_facts, stated_table
 
 #: One customer in four has each of these modules; %1$d is the customer, %2$d the nation.
 WEB = (
@@ -38,7 +38,11 @@ def mixed(spark, sf_dir):
 
 
 def _tables(spark, sf_dir, name):
-    found = scan_files(mixed(spark, sf_dir), front_ends=FRONT_ENDS)
+    """A table of the mixed corpus's graph, settled; one that needs no resolution comes of the facts of its kind."""
+    files = mixed(spark, sf_dir)
+    if name in STATED:
+        return settled(stated_table(all_facts(files, FRONT_ENDS, STATED[name]), name))
+    found = scan_facts(all_facts(files, FRONT_ENDS, *RESOLVING, *(TOLD if name == "diagnostics" else ())), readable(files, FRONT_ENDS).select("module_id"))
     try:
         return settled(found.tables()[name])
     finally:

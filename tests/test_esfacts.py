@@ -54,6 +54,14 @@ def test_references_and_names():
     assert {"x", "y", "m", "n", "q", "s", "t", "u"} <= set(of(source, "local", "name")) and "A" not in of(source, "local", "name")
 
 
+def test_only_what_is_asked_for():
+    source = "import { a } from './x'\nexport class B {}\nJSON.parse(new Map(a(console.log)))\nfunction f(p) {}\n"
+    assert of(source, "local", "name") == ["JSON", "Map", "p"]  # of the names that every host knows those asked for
+    every = list(facts("web/pages/a.ts", source))
+    for kinds in ({"port"}, {"local"}, {"reference", "def"}, {"parse_error"}):
+        assert list(facts("web/pages/a.ts", source, frozenset(kinds))) == [r for r in every if r["fact"] in kinds]
+
+
 def test_odd_texts():
     assert of("", "module", "fact") == ["module"] and of(b"\xff\xfe", "parse_error", "line") == [0]
     assert of("import('x'); import(`y${z}`)", "dynamic_import", "message") == ["dynamic import of 'x'", "dynamic import of non-literal target"]
