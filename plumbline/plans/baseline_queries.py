@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.pyfacts import py_facts
 from ..operators import baseline
 from ..sources.store import settled
 from . import bindings as b
 from . import corpus_queries as c
 from .corpus import KINDS, corpus
 from .registry import query
-from .scan import scan_files
+from .scan import RESOLVING, TOLD, scan_facts
 
 
 def _found(files):
-    found = scan_files(files)
+    found = scan_facts(py_facts(files, *RESOLVING, *TOLD), files.select("module_id"))
     try:
         return settled(baseline.fingerprints(found.diagnostics.select("kind", "moduleId", "line", "message")))
     finally:
