@@ -54,8 +54,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) ->
 
     Candidates are pairs of SimHash links and pairs that share a band (a run is the nodes of one band's hash). A pair of
     one component needs no verification. So SimHash links are verified first; then each node meets its runs' leaders,
-    the most central nodes, by which large groups come together without all their pairs; `rare_pairs` finds what is
-    left between components.
+    the most central nodes, by which large groups come together without all their pairs, and members of groups that stay
+    in parts meet those that lack the same of a leader's set; `rare_pairs` finds what is left between components.
     """
     firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k")), "firsts")
     of = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first"))
@@ -79,7 +79,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) ->
     sets = written(texts.select("text").mapInPandas(hashed, "node long, own array<long>").dropDuplicates(["node"]), "sets")
     sized = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9  # noqa: E731  else they can't be that similar
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def met(pairs: DataFrame) -> DataFrame:
+        """(b, a, x, y): the pairs with the sets of a and of b."""
         pairs = written(pairs.select("a", "b").distinct(), "pairs")
         hot = written(pairs.groupBy("b").count().where(F.col("count") >= HOT).select("b"), "hot")
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
@@ -90,9 +91,13 @@ def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) ->
         else:
             copies = leaders.select("b", "y", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
             crowded = left.join(hot, "b", "left_semi").withColumn("share", F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int")).join(copies, ["b", "share"]).drop("share")
-        met = crowded.select("b", "a", "x", "y").unionByName(left.join(hot, "b", "left_anti").join(of, "b").select("b", "a", "x", "y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return written(met.where(both >= least * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"), "near")
+        return crowded.select("b", "a", "x", "y").unionByName(left.join(hot, "b", "left_anti").join(of, "b").select("b", "a", "x", "y"))
+
+    both = F.size(F.array_intersect("x", "y"))
+    alike = lambda share: both >= share * (F.size("x") + F.size("y") - both) - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(met(pairs).where(alike(least)).select("a", "b"), "near")
 
     def placed(links: DataFrame) -> DataFrame:
         roots = components(links, "a", "b").withColumnRenamed("node", "of")
@@ -107,11 +112,27 @@ def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) ->
         apart = led(at).where((F.col("root") != F.col("lead.root")) & sized(F.col("size"), F.col("lead.size")))
         return apart.groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
 
+    def lacking(at: DataFrame) -> DataFrame:
+        """Pairs for loose groups, whose members are mostly just too far from their leader and from each other. Those of a
+        leader with over COMMON, of several components, are told apart by what of its set they lack: who lacks the same is
+        nearer. For each shingle lacked they ask the one that is nearest to the leader. A member asks at most as many as it
+        lacks; those who have no neighbour in common with the leader (1 - similarity is a distance) ask nobody."""
+        to = led(at).groupBy("node", "root").agg(F.max("lead").alias("lead")).select(F.col("node").alias("of"), "root", F.col("lead.node").alias("led"))
+        to = written(to, "led")
+        loose = to.groupBy("led").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where((F.col("n") > COMMON) & (F.col("least") != F.col("most"))).select("led")
+        to = to.join(loose, "led", "left_semi")
+        rows = met(to.select(F.col("of").alias("a"), F.col("led").alias("b"))).where(alike(2 * least - 1)).select("a", "b", (F.size("x") - both).alias("more"), F.array_except("y", "x").alias("lack"))
+        lack = rows.join(to.select("of", "root"), F.col("a") == F.col("of")).select("a", "b", "root", (F.col("more") + F.size("lack")).alias("far"), F.explode("lack").alias("s"))
+        lack = written(lack, "lack")
+        nearest = lack.groupBy("b", "s").agg(F.max(F.struct(-F.col("far"), F.xxhash64("a").alias("rank"), F.col("a").alias("node"), "root")).alias("lead"))
+        return lack.join(nearest, ["b", "s"]).where("root <> lead.root").select("a", F.col("lead.node").alias("b"))
+
     central = written(members.drop("n").join(degrees, F.col("node") == F.col("of")).drop("of"), "central")
     links = verified(proposed)
     links = links.unionByName(verified(asked(placed(links))))
     others = written(led(placed(links)).where("root <> lead.root").drop("lead"), "others")  # than a run's largest group
     links = links.unionByName(verified(asked(others)))
+    links = links.unionByName(verified(lacking(placed(links))))
     at = placed(links)
     open_runs = at.groupBy("band", "h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "h")
     left = at.join(open_runs, ["band", "h"]).select("node", "root").distinct()

@@ -128,6 +128,29 @@ def test_rare_pairs_leave_out_none_when_shingles_are_common(spark, monkeypatch):
     assert len(exact) > 100 and exact <= found
 
 
+def test_a_loose_group_without_its_center_does_not_meet_each_with_each(spark, monkeypatch):
+    """Pipeline, near-dedup: 900 texts that differ from one in up to three words, that one not among them, so that most pairs
+    are just below the limit (and 35 texts are near none): 591,838 rows to verify by rare shingles when only leaders were asked."""
+    draw, words, rows, made = np.random.default_rng(8), [f"w{i}" for i in range(150)], [], []
+    for k in range(900):
+        mine = list(words)
+        for at in draw.choice(150, draw.choice(4, p=(0, 0.03, 0.47, 0.5)), replace=False):
+            mine[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(mine)))
+    whole = near.rare_pairs
+
+    def counted(sets, nodes, least):
+        found = near.written(whole(sets, nodes, least), "counted")
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(near, "rare_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = sorted(min(g) for g in slow_groups(docs.collect(), 0.8))
+    assert sorted(x.doc_id for x in near.near_dedup(docs).collect()) == expected and len(expected) == 36
+    assert made[0] < 200_000
+
+
 def test_long_runs_of_fingerprints_are_parted(monkeypatch):
     draw = np.random.default_rng(4)
     fps = np.unique(draw.integers(0, 1 << 14, 3000).astype(np.uint64) << np.uint64(20))
