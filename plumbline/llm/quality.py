@@ -82,8 +82,9 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def lower_words(text: str) -> list[bytes]:
-    """The words of a text, `[^\\x20\\x09-\\x0D]+`, with A-Z as a-z: other spaces and other capitals are as they stand."""
-    return text.encode("utf-8").lower().split()
+    """The words of a text, `[^\\x20\\x09-\\x0D]+`, in lower case of all scripts, a code point for each as SQL's `lower` has it:
+    `str.lower` alone tells a final sigma apart and makes two of a dotted I."""
+    return text.replace("\u03a3", "\u03c3").replace("\u0130", "i").lower().encode("utf-8").split()
 
 
 def language_references(docs: DataFrame, common: int = COMMON) -> DataFrame:
@@ -205,7 +206,7 @@ classed AS (
     WHEN regexp_matches(c, '[a-z]') THEN 0 WHEN regexp_matches(c, '[A-Z]') THEN 1 WHEN regexp_matches(c, '[0-9]') THEN 2
     WHEN regexp_matches(c, '[\x20\x09-\x0D\x1C-\x1F]') THEN 3 WHEN regexp_matches(c, '[.,;:!?''"()\-]') THEN 4 WHEN regexp_matches(c, '[#*$%&|<>]') THEN 5 ELSE 6 END AS k, count(*) AS n
   FROM letters GROUP BY ALL),
-heard AS (SELECT r, lang, x, count(*) AS n FROM (SELECT r, lang, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS x FROM d) GROUP BY ALL),
+heard AS (SELECT r, lang, x, count(*) AS n FROM (SELECT r, lang, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS x FROM d) GROUP BY ALL),
 top AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, x) AS k FROM heard GROUP BY lang, x QUALIFY k <= 64),
 placed AS (SELECT h.r, h.lang, coalesce(k, 0) AS k, sum(n) AS n FROM heard h LEFT JOIN top t ON h.lang IS NOT DISTINCT FROM t.lang AND h.x = t.x GROUP BY ALL),
 every AS (SELECT 'c' AS what, r, lang, k, n FROM classed UNION ALL SELECT 'w', r, lang, k, n FROM placed),

@@ -69,6 +69,18 @@ def test_many_langs_go_by_a_join(spark, folders, monkeypatch):
     assert sorted(map(tuple, quality.quality_rules(docs).collect()), key=repr) == few
 
 
+def test_words_are_lowered_in_all_scripts_as_sql_does(spark):
+    """Every code point, and capitals in words: those beyond A-Z meet their small letters, in the code as in SQL."""
+    from plumbline.llm import quality
+
+    texts = ["ÉCOLE ÜBER ΣΑΣ СЛОВО İI", *(" ".join(map(chr, range(i, i + 4096))) for i in range(1, 0x20000, 4096) if not 0xC000 <= i < 0xE000)]
+    sql = "SELECT regexp_extract_all(lower(?), '[^\\x20\\x09-\\x0D]+')"
+    assert all([w.decode() for w in quality.lower_words(t)] == duckdb.execute(sql, [t]).fetchone()[0] for t in texts)
+    small = "école über сорок слово дом " * 30
+    docs = spark.createDataFrame([*((i, small, "fr") for i in range(9)), (9, small.upper(), "fr")], "doc_id long, text string, lang string")
+    assert {r["word_distance"] for r in quality.quality_rules(docs).collect()} == {0.0}
+
+
 def test_languages_of_few_texts_repeated_often_are_learnt(spark):
     """Two texts of a language, thousands of times each, are two texts: neither is left out, neither crowds out the other."""
     from pyspark.sql import functions as F
