@@ -91,6 +91,54 @@ def test_small_blocks_and_parts_give_the_same(docs, monkeypatch):
     assert all(s == pytest.approx(whole[i], rel=1e-9) for i, s in ((r["doc_id"], r["score"]) for r in pitman_yor.scores(docs, **how).collect()))
 
 
+@pytest.mark.parametrize("sent", [65_000, 20])
+def test_every_word_is_a_context(docs, texts, monkeypatch, sent):
+    """Against a model without a bound on contexts, whether their totals are sent or asked for part by part."""
+    monkeypatch.setattr(pitman_yor, "SENT", sent)
+    monkeypatch.setattr(pitman_yor, "PART", 2000)
+    rows = {r["doc_id"]: r["score"] for r in pitman_yor.scores(docs, burn=0, samples=0).collect()}
+    count, total, p = one_table_model(texts, 10**9)
+    rare = [w for w, n in count.items() if n * 1024 < total and w != b" "]
+    assert len(rare) > 1000 and len(rows) == len(texts)
+    for i, text in texts:
+        own = tokens(text)
+        assert rows[i] == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([None, *own], own)), rel=1e-9)
+    for before in (rare[0], rare[-1]):
+        assert sum(p(before, w) for w in [*count, b"never seen"]) == pytest.approx(1)
+
+
+def test_totals_of_contexts_follow_the_sweeps(docs, texts, monkeypatch):
+    """After sweeps each part is told the tables that all parts have of a context, be it sent by number or asked for."""
+    monkeypatch.setattr(pitman_yor, "SENT", 20)
+    monkeypatch.setattr(pitman_yor, "PART", 2000)
+    seen, told = [], pitman_yor.tables_of_rare
+    monkeypatch.setattr(pitman_yor, "tables_of_rare", lambda state, homes: seen.append((state, homes)) or told(state, homes))
+    opened, model = pitman_yor.opened, []
+    monkeypatch.setattr(pitman_yor, "opened", lambda *a: model.append(opened(*a)) or model[-1])
+    out = sum(r["score"] for r in pitman_yor.scores(docs, burn=1, samples=1).collect() if r["held_out"])
+    state, homes = seen[-1]
+    read = lambda row, c: pitman_yor._read(row[c], pitman_yor.STATE[c]).astype(np.int64)
+    rare = {r["part"]: pitman_yor._read_sorted(r["base_rare"], np.int64) for r in model[0].collect()}
+    tables, often, moved = Counter(), 0, 0
+    for row in state.collect():
+        ctx, t, own = read(row, "ctx"), read(row, "t"), rare[row["part"]]
+        seats = len(read(row, "often_alone"))
+        often += read(row, "often_alone") + np.bincount(ctx[ctx < seats], t[ctx < seats], seats).astype(np.int64)
+        for u, n in [*zip(own, read(row, "rare_alone")), *zip(own[ctx[ctx >= seats] - seats], t[ctx >= seats])]:
+            tables[u] += n
+        moved += (t[ctx >= seats] > 1).sum()
+    assert seats == 21 and moved > 0 and len(tables) > 1000
+    assert np.array_equal(pitman_yor.totals(state, np.zeros(seats), 1).tables, often)
+    count = Counter(w for i, t in texts if not held(i) for w in tokens(t))
+    n = dict(zip(pitman_yor._hashes(list(count)), count.values()))
+    got, customers = {}, {(r["part"], r["home"]): pitman_yor._read(r["n"], np.int64) for r in homes.collect()}
+    for r in sorted(told(state, homes).collect(), key=lambda r: r["home"]):
+        got.setdefault(r["part"], []).extend(zip(pitman_yor._read(r["tables"], np.int64), customers[r["part"], r["home"]]))
+    assert {p: [(tables[u], n.get(u, 0)) for u in own] for p, own in rare.items() if len(own)} == got
+    monkeypatch.setattr(pitman_yor, "SENT", 65_000)
+    assert sum(r["score"] for r in pitman_yor.scores(docs, burn=1, samples=1).collect() if r["held_out"]) == pytest.approx(out, rel=0.01)
+
+
 @pytest.mark.parametrize("n, base, discount", [(2, 0.5, 0.3), (4, 1.5, 0.5), (6, 0.2, 0.8)])
 def test_sweeps_draw_seatings_by_their_probability(n, base, discount):
     """Many chains of one dish: the number of tables is distributed as the exact weights of all seatings say."""
