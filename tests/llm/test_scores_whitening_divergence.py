@@ -122,21 +122,38 @@ def test_totals_of_contexts_follow_the_sweeps(docs, texts, monkeypatch):
     tables, often, moved = Counter(), 0, 0
     for row in state.collect():
         ctx, t, own = read(row, "ctx"), read(row, "t"), rare[row["part"]]
-        seats = len(read(row, "often_alone"))
+        seats, hot = len(read(row, "often_alone")), len(read(row, "hot_at"))
         often += read(row, "often_alone") + np.bincount(ctx[ctx < seats], t[ctx < seats], seats).astype(np.int64)
         for u, n in [*zip(own, read(row, "rare_alone")), *zip(own[ctx[ctx >= seats] - seats], t[ctx >= seats])]:
             tables[u] += n
         moved += (t[ctx >= seats] > 1).sum()
     assert seats == 21 and moved > 0 and len(tables) > 1000
-    assert np.array_equal(pitman_yor.totals(state, np.zeros(seats), 1).tables, often)
+    assert np.array_equal(pitman_yor.totals(state, np.zeros(seats), 1, hot).tables, often)
     count = Counter(w for i, t in texts if not held(i) for w in tokens(t))
     n = dict(zip(pitman_yor._hashes(list(count)), count.values()))
     got, customers = {}, {(r["part"], r["home"]): pitman_yor._read(r["n"], np.int64) for r in homes.collect()}
     for r in sorted(told(state, homes).collect(), key=lambda r: r["home"]):
         got.setdefault(r["part"], []).extend(zip(pitman_yor._read(r["tables"], np.int64), customers[r["part"], r["home"]]))
     assert {p: [(tables[u], n.get(u, 0)) for u in own] for p, own in rare.items() if len(own)} == got
-    monkeypatch.setattr(pitman_yor, "SENT", 65_000)
-    assert sum(r["score"] for r in pitman_yor.scores(docs, burn=1, samples=1).collect() if r["held_out"]) == pytest.approx(out, rel=0.01)
+    for name, n in (("SENT", 65_000), ("PART", 4_000_000)):  # the second: no word is dealt out in pieces
+        monkeypatch.setattr(pitman_yor, name, n)
+        assert sum(r["score"] for r in pitman_yor.scores(docs, burn=1, samples=1).collect() if r["held_out"]) == pytest.approx(out, rel=0.01)
+
+
+def test_words_in_pieces_where_their_own_part_has_none(spark, monkeypatch):
+    """One word after itself, all of its tokens in two contexts: its seats in the parent are kept in its own part."""
+    monkeypatch.setattr(pitman_yor, "PART", 40)
+    ids = [i for i in range(30) if not held(i)][:9] + [i for i in range(30) if held(i)][:1]
+    rows = [(i, "a " * 40 + "b" * (i % 2)) for i in ids] + [(None, "c a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count, _, p = one_table_model(rows, 10**9)
+    assert count[b"a"] > 300
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.scores(docs, burn=0, samples=0).collect()}
+    for i, text in rows:
+        own = tokens(text)
+        assert got[i] == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([None, *own], own)), rel=1e-9)
+    swept = {r["doc_id"]: r["score"] for r in pitman_yor.scores(docs).collect()}
+    assert all(math.isfinite(s) and s < 0 for s in swept.values()) and swept.keys() == got.keys()
 
 
 @pytest.mark.parametrize("n, base, discount", [(2, 0.5, 0.3), (4, 1.5, 0.5), (6, 0.2, 0.8)])
